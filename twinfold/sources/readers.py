@@ -27,7 +27,15 @@ def read_csv(spark: SparkSession, path: str, *, encoding: str = "utf-8",
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A list of objects, or one object holding the list under ``records``."""
-    df = spark.read.option("multiLine", True).json(path)
+    return _records(spark.read.option("multiLine", True).json(path), path)
+
+
+def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """S2 for files with one object per line, which Spark can split."""
+    return _records(spark.read.json(path), path)
+
+
+def _records(df: DataFrame, path: str) -> DataFrame:
     if df.columns == ["_corrupt_record"]:
         raise ValueError(f"no JSON records in {path}")
     if df.columns == ["records"]:
@@ -41,6 +49,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 _READERS: dict[str, Callable[..., DataFrame]] = {
     "csv": read_csv,
     "json": read_json,
+    "jsonl": read_json_lines,
     "parquet": lambda spark, path: spark.read.parquet(path),
 }
 
