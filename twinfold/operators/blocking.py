@@ -152,3 +152,10 @@ def blocking_efficiency(df: DataFrame, rules: Sequence[Rule], pairs: DataFrame,
     return per_rule.select("rule", "blocks", "largest_block", "comparisons",
                            total.alias("distinct_pairs"), (n * (n - 1) / 2).cast("bigint").alias("all_pairs"),
                            (1 - total / (n * (n - 1) / 2)).alias("reduction_ratio"))
+
+
+def pair_completeness(pairs: DataFrame, truth: DataFrame) -> DataFrame:
+    """How many true pairs the candidates contain."""
+    found = truth.join(pairs.withColumn("hit", F.lit(1)), ["left_id", "right_id"], "left")
+    return found.agg(F.count(F.lit(1)).alias("true_pairs"), F.count("hit").alias("found_pairs")).selectExpr(
+        "*", "round(found_pairs / true_pairs, 6) as completeness")
