@@ -7,11 +7,11 @@ computed once, and a whole row of the table is one vector step for many pairs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,31 +140,32 @@ def _ratio_block(left: list[str], right: list[str]) -> np.ndarray:
 
 
 @F.pandas_udf(T.BooleanType())
-def _any_close_item(left: pd.Series, right: pd.Series) -> pd.Series:
-    rows, pairs = [], []
-    for n, (xs, ys) in enumerate(zip(left, right)):
-        for x in xs if xs is not None and ys is not None else ():
-            for y in ys:
-                # the ratio cannot pass when the lengths differ too much
-                if 200 * min(len(x), len(y)) > LIST_SIMILARITY_THRESHOLD * (len(x) + len(y)):
-                    rows.append(n)
-                    pairs.append((x, y))
-    out = np.zeros(len(left), dtype=bool)
-    if pairs:
-        distinct = list(set(pairs))
-        value = dict(zip(distinct, _blocked(distinct, _ratio_block)))
-        close = [value[p] > LIST_SIMILARITY_THRESHOLD for p in pairs]
-        np.logical_or.at(out, rows, close)
-    return pd.Series(out)
-
-
-def lists_similar(left: Column, right: Column) -> Column:
-    """1 if some item pair of two lists has a ratio above the threshold, else 0.
-
-    Lists that share an item, or that are empty, are settled in the JVM; only
-    the rest carry their items to the batch function.
+def _any_close_pair(pairs: pd.Series) -> pd.Series:
+    found = [[tuple(p) for p in ps] if ps is not None else [] for ps in pairs]
+    distinct = list({p for ps in found for p in ps})
+    close = {p for p, v in zip(distinct, _blocked(distinct, _ratio_block)) if v > LIST_SIMILARITY_THRESHOLD}
+    return pd.Series([any(p in close for p in ps) for ps in found], dtype="bool")
+
+
+def with_near_items(pairs: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Columns that :func:`lists_similar` reads: the item pairs that can still pass.
+
+    A common subsequence leaves out at least as many letters as the edit
+    distance counts, so a pair with a larger edit distance is settled here, in
+    the JVM; so are lists that share an item.
     """
-    same = F.coalesce(F.arrays_overlap(left, right), F.lit(False))
-    open_case = ~same & (F.size(left) > 0) & (F.size(right) > 0)
-    close = _any_close_item(F.when(open_case, left), F.when(open_case, right))
-    return (same | close).cast("double")
+    most = f"cast(floor((length(x) + length(y)) * {100 - LIST_SIMILARITY_THRESHOLD} / 100) as int)"
+
+    def near(field: str) -> str:
+        close = f"filter(r.{field}, y -> levenshtein(x, y, {most}) >= 0)"
+        items = f"flatten(transform(l.{field}, x -> transform({close}, y -> array(x, y))))"
+        return f"if(arrays_overlap(l.{field}, r.{field}), null, {items})"
+
+    return pairs.withColumns({f"__near_{f}": F.expr(near(f)) for f in dict.fromkeys(fields)}) if fields else pairs
+
+
+def lists_similar(field: str) -> Column:
+    """1 if some item pair of the lists ``l.field`` and ``r.field`` has a ratio above the threshold, else 0."""
+    same = F.coalesce(F.arrays_overlap(f"l.{field}", f"r.{field}"), F.lit(False))
+    near = F.col(f"__near_{field}")
+    return (same | ((F.size(near) > 0) & _any_close_pair(near))).cast("double")

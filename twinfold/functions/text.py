@@ -68,24 +68,23 @@ def _fold_steps(single: dict[str, str], multi: dict[str, str]) -> list[Step]:
         ("replace", src, dst) for src, dst in multi.items()]
 
 
-_SQUEEZE: list[Step] = [("regexp_replace", r"[\s\x1c-\x1f]+", " "), ("trim",)]
+# runs of whitespace other than one plain space, which is most of them
+_SQUEEZE: list[Step] = [
+    ("regexp_replace", r"[\t\n\x0B\f\r\x1c-\x1f][\s\x1c-\x1f]*| [\s\x1c-\x1f]+", " "), ("trim",)]
 _REMOVE_ACCENTS = _fold_steps(_ACCENTS, _LIGATURES)
-_TRANSLITERATE = _fold_steps(_ACCENTS | ONE_TO_ONE, ONE_TO_MANY)
-_DELETE_JUNK: list[Step] = [("regexp_replace", "(?i)" + pattern, "") for pattern in JUNK_PATTERNS]
-_TIDY: list[Step] = [
+_NORMALIZE: list[Step] = [
+    *_fold_steps(_ACCENTS | ONE_TO_ONE, ONE_TO_MANY),
+    *(("regexp_replace", "(?i)" + pattern, "") for pattern in JUNK_PATTERNS),
     ("regexp_replace", r"[,/\n:]+", " "),
     ("replace", "+33", "0"),
     ("btrim", _SPACES), ("btrim", '"'), ("btrim", "'"),
     ("lower",),
     *_SQUEEZE,
 ]
-# C1 as stages: (pattern that calls for the stage, steps).  ASCII text without junk
-# costs two scans instead of the whole chain.
-_NORMALIZE: list[tuple[str | None, list[Step]]] = [
-    (r"[^\x00-\x7F]", _TRANSLITERATE),
-    ("(?i)" + "|".join(JUNK_PATTERNS), _DELETE_JUNK),
-    (None, _TIDY),
-]
+# Any trace of what the steps above act on.  A value without one, as most short
+# fields are, only has to be trimmed and lowered.
+_UNUSUAL = r"""(?i)[^\x20-\x7E]|[,/:"'\[]|\+33|  |\bnone\b|""" + "|".join(JUNK_PATTERNS[3:])
+_PLAIN: list[Step] = [("trim",), ("lower",)]
 
 
 def _quoted(s: str) -> str:
@@ -123,26 +122,23 @@ def remove_accents(c: Column | str) -> Column:
     return apply_steps(c, _REMOVE_ACCENTS)
 
 
-def _stage_sql(x: str, pattern: str | None, steps: Sequence[Step]) -> str:
-    done = steps_sql(x, steps)
-    return done if pattern is None else f"if({x} rlike {_quoted(pattern)}, {done}, {x})"
+def normalize_sql(x: str) -> str:
+    """C1 of a SQL expression, as SQL text."""
+    x = f"coalesce({x}, '')"
+    return f"if({x} rlike {_quoted(_UNUSUAL)}, {steps_sql(x, _NORMALIZE)}, {steps_sql(x, _PLAIN)})"
 
 
 def normalize_text(c: Column | str) -> Column:
     """Canonical lower-case ASCII form of a value; NULL becomes ''."""
     if isinstance(c, str):
-        return F.expr(reduce(lambda x, stage: _stage_sql(x, *stage), _NORMALIZE, f"coalesce(cast({c} as string), '')"))
+        return F.expr(normalize_sql(f"cast({c} as string)"))
     c = F.coalesce(c.cast("string"), F.lit(""))
-    for pattern, steps in _NORMALIZE:
-        done = apply_steps(c, steps)
-        c = done if pattern is None else F.when(c.rlike(pattern), done).otherwise(c)
-    return c
+    return F.when(c.rlike(_UNUSUAL), apply_steps(c, _NORMALIZE)).otherwise(apply_steps(c, _PLAIN))
 
 
 def normalize_items(c: Column) -> Column:
-    """C1 on every item of a list, one stage at a time so that no item is evaluated twice."""
-    c = map_items(c, "coalesce(cast(x as string), '')")
-    return reduce(lambda items, stage: map_items(items, _stage_sql("x", *stage)), _NORMALIZE, c)
+    """C1 on every item of a list."""
+    return map_items(c, normalize_sql("x"))
 
 
 def clean_cell(c: Column | str) -> Column:

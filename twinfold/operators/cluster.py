@@ -56,13 +56,6 @@ def _small_star(links: DataFrame) -> DataFrame:
     return _canonical(moved.unionByName(low.select("u", F.col("m").alias("v"))))
 
 
-def label_all(records: DataFrame, components: DataFrame, id_column: str = "record_id") -> DataFrame:
-    """L4: ``record_id, cluster_id`` for all records; a record without a match is its own cluster."""
-    ids = records.select(F.col(id_column).alias("record_id"))
-    return (ids.join(components, "record_id", "left")
-            .select("record_id", F.coalesce("component", "record_id").alias("cluster_id")))
-
-
 def centroid_linkage(distance: np.ndarray, limit: float, weight: np.ndarray | None = None) -> np.ndarray:
     """Label per item: merge the closest centroids until the closest are farther apart than ``limit``.
 
@@ -104,20 +97,36 @@ def confidences(distance: np.ndarray, label: np.ndarray, weight: np.ndarray, own
 _MEMBER_SCHEMA = "record_id long, cluster_id long, confidence_score double"
 
 
-def _cluster_component(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        alone = pdf.left_id == pdf.right_id
-        nodes = pdf[alone].sort_values("left_id")
-        ids = nodes.left_id.to_numpy()
-        weight, own = nodes.copies.to_numpy(float), 1 - nodes.score.to_numpy(float)
-        distance = np.ones((len(ids), len(ids)))
-        pairs = pdf[~alone]
-        i, j = np.searchsorted(ids, pairs.left_id), np.searchsorted(ids, pairs.right_id)
-        distance[i, j] = distance[j, i] = 1 - pairs.score.to_numpy(float)
-        label = centroid_linkage(distance, 1 - threshold, weight)
-        score = confidences(distance, label, weight, own)
-        smallest = pd.Series(ids).groupby(label).transform("min")
-        return pd.DataFrame({"record_id": ids, "cluster_id": smallest.to_numpy(), "confidence_score": score})
+def _cluster_one(left: np.ndarray, right: np.ndarray, score: np.ndarray, copies: np.ndarray,
+                 threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    alone = left == right
+    order = np.argsort(left[alone])
+    ids, own, weight = left[alone][order], 1 - score[alone][order], copies[alone][order].astype(float)
+    distance = np.ones((len(ids), len(ids)))
+    i, j = np.searchsorted(ids, left[~alone]), np.searchsorted(ids, right[~alone])
+    distance[i, j] = distance[j, i] = 1 - score[~alone]
+    label = centroid_linkage(distance, 1 - threshold, weight)
+    # items are sorted by id, so a label is the position of the smallest id of its cluster
+    return ids, ids[label], confidences(distance, label, weight, own)
+
+
+def _cluster_batches(threshold: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def clusters(pdf: pd.DataFrame) -> pd.DataFrame:
+        columns = [pdf[c].to_numpy() for c in ("left_id", "right_id", "score", "copies")]
+        cuts = np.flatnonzero(np.diff(pdf.component.to_numpy())) + 1
+        parts = [_cluster_one(*group, threshold) for group in zip(*(np.split(c, cuts) for c in columns))]
+        return pd.DataFrame(dict(zip(("record_id", "cluster_id", "confidence_score"), map(np.concatenate, zip(*parts)))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_part = None  # the component that may go on in the next batch
+        for pdf in batches:
+            pdf = pdf if open_part is None else pd.concat([open_part, pdf])
+            going_on = (pdf.component == pdf.component.iloc[-1]).to_numpy()
+            open_part = pdf[going_on]
+            if not going_on.all():
+                yield clusters(pdf[~going_on])
+        if open_part is not None:
+            yield clusters(open_part)
 
     return run
 
@@ -128,9 +137,10 @@ def agglomerate(component_pairs: DataFrame, threshold: float) -> DataFrame:
     Input ``component, left_id, right_id, score, copies``; a row with equal ids
     describes one member: how many identical records it stands for and their
     mutual score.  A component has at most :data:`MAX_COMPONENT` members, so a
-    group is bounded.
+    task holds little at a time; many components share one batch.
     """
-    return component_pairs.groupBy("component").applyInPandas(_cluster_component(threshold), _MEMBER_SCHEMA)
+    grouped = component_pairs.repartition("component").sortWithinPartitions("component")
+    return grouped.mapInPandas(_cluster_batches(threshold), _MEMBER_SCHEMA)
 
 
 def component_sizes(components: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def _comparison(spec: FieldSpec) -> Column:
     if spec.type in _TEXT_TYPES:
         return sim.affine_gap()(left, right)
     if spec.type == "Custom":
-        return sim.lists_similar(left, right)
+        return sim.lists_similar(spec.field)
     raise ValueError(f"unknown field type: {spec.type}")
 
 
@@ -54,7 +54,8 @@ def add_features(pairs: DataFrame, fields: Sequence[FieldSpec]) -> DataFrame:
     """
     types = {f.name: f.dataType for f in pairs.schema["l"].dataType}
     plain = [s for s in fields if s.type != "Interaction"]
-    compared = pairs.withColumns({f"__{s.feature}": _comparison(s) for s in plain})
+    near = sim.with_near_items(pairs, [s.field for s in plain if s.type == "Custom" and s.comparator is None])
+    compared = near.withColumns({f"__{s.feature}": _comparison(s) for s in plain})
 
     def missing(s: FieldSpec) -> str:
         blank = "size({0}) = 0" if isinstance(types[s.field], T.ArrayType) else "{0} = ''"

@@ -91,7 +91,8 @@ _compare("x1_custom_comparator", "CASE WHEN left(l.birth_first_name, 1) = left(r
     FROM (SELECT left_id, right_id, x, unnest(ys) AS y FROM (SELECT left_id, right_id, unnest(l.emails) AS x, r.emails AS ys FROM {_FULL}))
     GROUP BY 1, 2""", PERSON_KEYS, PERSON_PAIRS))
 def g5_lists_similar(spark: SparkSession, sf: str) -> DataFrame:
-    return _all_pairs(spark, sf).select("left_id", "right_id", sim.lists_similar(F.col("l.emails"), F.col("r.emails")).alias("value"))
+    pairs = sim.with_near_items(_all_pairs(spark, sf), ["emails"])
+    return pairs.select("left_id", "right_id", sim.lists_similar("emails").alias("value"))
 
 
 _FEATURE_FIELDS = (
