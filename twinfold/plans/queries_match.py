@@ -119,14 +119,12 @@ def g7_g9_features(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- scores --------------------------------------------------------------------------------
 
-SCORED = f"""scored AS (
-  SELECT left_id, right_id, 1 / (1 + exp(-(-6.5 + 4 * {_EDIT.format('birth_family_name')}
+_SCORE = f"""1 / (1 + exp(-(-6.5 + 4 * {_EDIT.format('birth_family_name')}
       + CASE WHEN l.birth_family_name = r.birth_family_name THEN 2 ELSE 0 END + {_EDIT.format('birth_first_name')}
       + CASE WHEN list_has_any(l.emails, r.emails) THEN 4 ELSE 0 END
       + CASE WHEN len(l.telephones) = 0 OR len(r.telephones) = 0 THEN 0.6 WHEN list_has_any(l.telephones, r.telephones) THEN 2 ELSE 0 END
-      + CASE WHEN l.birth_date = '' OR r.birth_date = '' THEN 0.6 WHEN l.birth_date = r.birth_date THEN 2 ELSE 0 END))) AS score
-  FROM {_FULL}
-), matches AS (SELECT * FROM scored WHERE score >= 0.5)"""
+      + CASE WHEN l.birth_date = '' OR r.birth_date = '' THEN 0.6 WHEN l.birth_date = r.birth_date THEN 2 ELSE 0 END)))"""
+SCORED = f"""scored AS (SELECT left_id, right_id, {_SCORE} AS score FROM {_FULL}), matches AS (SELECT * FROM scored WHERE score >= 0.5)"""
 _SCORED_CTES = (PERSON_KEYS, PERSON_PAIRS, SCORED)
 COMPONENTS = """edges AS (
   SELECT left_id AS a, right_id AS b FROM matches UNION ALL SELECT right_id, left_id FROM matches
@@ -197,18 +195,47 @@ def s6_cluster_export(spark: SparkSession, sf: str) -> DataFrame:
     return read_csv(spark, path).select("cluster_id", "cluster_size", "id", "origin", "birth_family_name", "birth_first_name")
 
 
-@query("l5_clusters")
+# centroid linkage and confidence of components of up to three members, in closed form
+_LINKED = f"""members AS (
+  SELECT cluster_id AS c, record_id, row_number() OVER (PARTITION BY cluster_id ORDER BY record_id) AS n,
+         count(*) OVER (PARTITION BY cluster_id) AS size FROM clusters
+), distances AS (
+  SELECT a.c, a.n AS i, b.n AS j, 1 - {_SCORE} AS d FROM members a JOIN members b ON a.c = b.c AND a.n < b.n
+  JOIN clean l ON l.record_id = a.record_id JOIN clean r ON r.record_id = b.record_id
+), shapes AS (
+  SELECT c, max(d) FILTER (i = 1 AND j = 2) AS d12, max(d) FILTER (i = 1 AND j = 3) AS d13, max(d) FILTER (i = 2 AND j = 3) AS d23
+  FROM distances GROUP BY c
+), merged AS (
+  SELECT *, least(d12, d13, d23) AS m, CASE WHEN d12 = least(d12, d13, d23) THEN 3 WHEN d13 = least(d12, d13, d23) THEN 2 ELSE 1 END AS odd,
+    sqrt((d12 * d12 + d13 * d13 + d23 * d23 - least(d12, d13, d23) ** 2) / 2 - least(d12, d13, d23) ** 2 / 4) <= 0.5 AS whole
+  FROM shapes
+), linked AS (
+  SELECT record_id,
+    CASE WHEN size < 3 OR whole THEN v.c WHEN n = odd THEN record_id
+         WHEN odd = 1 THEN (SELECT record_id FROM members x WHERE x.c = v.c AND x.n = 2) ELSE v.c END AS cluster_id,
+    CASE WHEN size = 1 THEN 1 WHEN size = 2 THEN 1 - d12
+         WHEN whole THEN 1 - sqrt(CASE n WHEN 1 THEN d12 * d12 + d13 * d13 WHEN 2 THEN d12 * d12 + d23 * d23 ELSE d13 * d13 + d23 * d23 END / 2)
+         WHEN n = odd THEN 1 ELSE 1 - m END AS confidence_score
+  FROM members v LEFT JOIN merged USING (c)
+)"""
+_LINKED_CTES = (*_CLUSTER_CTES, _LINKED)
+_LINKED_SQL = over_clean_recursive("SELECT record_id, cluster_id, round(confidence_score, 6) AS confidence_score FROM linked", *_LINKED_CTES)
+
+
+@query("l5_clusters", _LINKED_SQL)
 def l5_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return dedupe.get_clusters(clean_persons(spark, sf), MODEL, BLOCKING)
+    members = dedupe.get_clusters(clean_persons(spark, sf), MODEL, BLOCKING)
+    return members.withColumn("confidence_score", F.round("confidence_score", 6))
 
 
-@query("l6_dataset_deduplication")
+@query("l6_dataset_deduplication", _LINKED_SQL)
 def l6_dataset_deduplication(spark: SparkSession, sf: str) -> DataFrame:
     membership, _ = dedupe.run("datasetDeduplicationCluster", persons(spark, sf), MODEL, BLOCKING)
-    return membership
+    return membership.withColumn("confidence_score", F.round("confidence_score", 6))
 
 
-@query("a13_confidence_histogram")
+@query("a13_confidence_histogram", over_clean_recursive("""
+    SELECT CAST(least(floor(round(confidence_score, 6) * 20), 19) + 1 AS INT) AS bin, count(*) AS count FROM linked GROUP BY 1""", *_LINKED_CTES))
 def a13_confidence_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return score_histogram(l5_clusters(spark, sf), "confidence_score")
 
