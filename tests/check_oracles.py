@@ -12,6 +12,7 @@ sys.path.insert(0, ROOT)
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean", "DATE": "date"}
 
 
 def connect(sf_dir: str):
@@ -43,6 +44,10 @@ def compare(spark, con, sf_dir: str, fn, sql: str | None):
     if sql is None:
         return None if rows else "no rows"
     cur = con.execute(sql)
+    types = dict(df.dtypes)
+    wrong = {d[0]: (types.get(d[0]), str(d[1])) for d in cur.description if TYPES.get(str(d[1])) != types.get(d[0])}
+    if wrong:
+        return f"types differ: {wrong}"
     want_cols, want = normalized([d[0] for d in cur.description], cur.fetchall())
     got_cols, got = normalized(df.columns, rows)
     if got_cols != want_cols:

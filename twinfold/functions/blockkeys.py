@@ -21,10 +21,9 @@ NONE = "cast(array() as array<string>)"
 _MAX_DIGITS = 18  # longer digit runs do not fit a bigint
 
 
-def _present(*items: str) -> str:
-    """Array of the keys that are neither NULL nor blank."""
-    texts = ", ".join(f"cast({k} as string)" for k in items)
-    return f"filter(array({texts}), k -> k <> '')"
+def _present(key: str) -> str:
+    """Array of the key unless it is NULL or blank."""
+    return f"if(cast({key} as string) <> '', array(cast({key} as string)), {NONE})"
 
 
 def _if(condition: str, result: str) -> str:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.functions.blockkeys import PREDICATES, with_phonetic
+from twinfold.sources.lineage import stored
 
 Atom = tuple[str, str]  # (predicate name, field)
 Rule = frozenset[Atom]
@@ -62,13 +63,13 @@ def block_table(df: DataFrame, rules: Sequence[Rule], id_column: str = "record_i
 
     Long keys travel as their SHA-256.
     """
-    compact = f"case when length(k) <= {_LONG_KEY} then k else sha2(k, 256) end"
-    tagged = ", ".join(f"transform(array_distinct({rule_keys(r)}), k -> struct({n} as rule, {compact} as key))"
-                       for n, r in enumerate(rules))
-    carried = [F.struct(*payload).alias("payload")] if payload else []
-    return (with_rule_columns(df, rules)
-            .select(F.col(id_column).alias("id"), *carried, F.expr(f"explode(concat({tagged}))").alias("block"))
-            .select("id", *(["payload"] if payload else []), "block.rule", "block.key"))
+    per_rule = ", ".join(f"struct({n} as rule, array_distinct({rule_keys(r)}) as keys)" for n, r in enumerate(rules))
+    carried = ["payload"] if payload else []
+    one_row_per_rule = with_rule_columns(df, rules).select(
+        F.col(id_column).alias("id"), *([F.struct(*payload).alias("payload")] if payload else []),
+        F.expr(f"explode(array({per_rule}))").alias("block"))
+    return (one_row_per_rule.selectExpr("id", *carried, "block.rule as rule", "explode(block.keys) as k")
+            .selectExpr("id", *carried, "rule", f"if(length(k) <= {_LONG_KEY}, k, sha2(k, 256)) as key"))
 
 
 def block_sizes(blocks: DataFrame) -> DataFrame:
@@ -76,10 +77,20 @@ def block_sizes(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("rule", "key").agg(F.count(F.lit(1)).alias("records"))
 
 
-def _with_parts(blocks: DataFrame, sized: DataFrame, max_block: int) -> DataFrame:
-    """``parts``, the pieces a key of more than ``max_block`` records is cut into, and the ``part`` of a row."""
-    hot = block_sizes(sized).filter(f"records > {max_block}").selectExpr(
+def hot_keys(blocks: DataFrame, max_block: int) -> DataFrame:
+    """``rule, key, parts``: the keys of more than ``max_block`` records and the pieces they are cut into.
+
+    The counts are taken in a job of their own and stored.  There are rarely
+    any such keys; knowing the size of this table beforehand keeps the blocks
+    themselves from being shuffled once more to meet it.
+    """
+    hot = block_sizes(blocks).filter(f"records > {max_block}").selectExpr(
         "rule", "key", f"cast(ceil(records / {max_block}) as int) as parts")
+    return stored(hot, "hot-keys")
+
+
+def _with_parts(blocks: DataFrame, hot: DataFrame) -> DataFrame:
+    """Each row with the ``part`` of its key that it falls in, by a hash of the id."""
     return (blocks.join(hot, ["rule", "key"], "left")
             .selectExpr("*", "cast(pmod(xxhash64(id), coalesce(parts, 1)) as int) as part"))
 
@@ -95,17 +106,18 @@ def candidate_pairs(df: DataFrame, rules: Sequence[Rule], id_column: str = "reco
     With ``payload`` the compared fields ride along as structs ``l`` and ``r``
     and a pair appears once per shared key; score, filter, then deduplicate.
     """
-    blocks = block_table(df, rules, id_column, payload)
-    placed = _with_parts(blocks, block_table(df, rules, id_column), max_block)
+    hot = hot_keys(block_table(df, rules, id_column), max_block)
+    placed = _with_parts(block_table(df, rules, id_column, payload), hot)
     carried = ["payload"] if payload else []
     # cell of each piece with every other: (smaller, larger)
     cells = ("explode(transform(sequence(0, coalesce(parts, 1) - 1), "
              "j -> struct(least(part, j) as row, greatest(part, j) as column))) as cell")
     placed = (placed.selectExpr("id", *carried, "rule", "key", "part", cells)
               .selectExpr("id", *carried, "rule", "key", "part", "cell.row as row", "cell.column as column"))
-    # inside a diagonal cell ids decide the side, elsewhere the piece does
+    # Inside a diagonal cell ids decide the side, elsewhere the piece does.  The two tests of the
+    # piece are one expression over both sides: pushed down singly they would make the sides differ.
     on = [f"a.{c} = b.{c}" for c in _JOIN] + [
-        "a.part = a.row", "b.part = b.column", "(a.row < a.column or a.id < b.id)"]
+        "abs(a.part - a.row) + abs(b.part - b.column) = 0", "(a.row < a.column or a.id < b.id)"]
     joined = placed.alias("a").join(placed.alias("b"), F.expr(" and ".join(on)))
     ids = ("least(a.id, b.id) as left_id", "greatest(a.id, b.id) as right_id")
     if not payload:
@@ -121,9 +133,9 @@ def cross_candidates(new: DataFrame, base: DataFrame, rules: Sequence[Rule], pay
     Large base blocks are cut into pieces and the new side is repeated per
     piece.  Which side is broadcast, if any, is left to the measured sizes.
     """
-    base_blocks = block_table(base, rules, id_column)
-    new_side = _with_parts(block_table(new, rules, id_column, payload), base_blocks, max_block)
-    base_side = _with_parts(block_table(base, rules, id_column, payload), base_blocks, max_block)
+    hot = hot_keys(block_table(base, rules, id_column), max_block)
+    new_side = _with_parts(block_table(new, rules, id_column, payload), hot)
+    base_side = _with_parts(block_table(base, rules, id_column, payload), hot)
     new_side = new_side.selectExpr("id", "payload", "rule", "key",
                                    "explode(sequence(0, coalesce(parts, 1) - 1)) as part")
     on = "a.rule = b.rule and a.key = b.key and a.part = b.part"

@@ -65,7 +65,7 @@ def _compare(name: str, sql: str, make) -> None:
         value = make()
         return _all_pairs(spark, sf).select("left_id", "right_id", F.round(value, 6).alias("value"))
 
-    query(name, over_clean(f"SELECT left_id, right_id, round({sql}, 6) AS value FROM {_FULL}", PERSON_KEYS, PERSON_PAIRS))(run)
+    query(name, over_clean(f"SELECT left_id, right_id, CAST(round({sql}, 6) AS DOUBLE) AS value FROM {_FULL}", PERSON_KEYS, PERSON_PAIRS))(run)
 
 
 def _native(kind: str, field: str):
@@ -87,7 +87,7 @@ _compare("x1_custom_comparator", "CASE WHEN left(l.birth_first_name, 1) = left(r
 
 
 @query("g5_lists_similar", over_clean(f"""
-    SELECT left_id, right_id, CASE WHEN max({ratio_sql('x', 'y')}) > 85 THEN 1.0 ELSE 0.0 END AS value
+    SELECT left_id, right_id, CAST(max({ratio_sql('x', 'y')}) > 85 AS DOUBLE) AS value
     FROM (SELECT left_id, right_id, x, unnest(ys) AS y FROM (SELECT left_id, right_id, unnest(l.emails) AS x, r.emails AS ys FROM {_FULL}))
     GROUP BY 1, 2""", PERSON_KEYS, PERSON_PAIRS))
 def g5_lists_similar(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,13 +103,13 @@ _FEATURE_FIELDS = (
 
 
 @query("g7_g9_features", over_clean(f"""
-    SELECT left_id, right_id, round({_EDIT.format('birth_family_name')}, 6) AS family, 0.0 AS family__missing,
-      round({_EDIT.format('birth_first_name')}, 6) AS first, 0.0 AS first__missing,
+    SELECT left_id, right_id, round({_EDIT.format('birth_family_name')}, 6) AS family, CAST(0 AS DOUBLE) AS family__missing,
+      round({_EDIT.format('birth_first_name')}, 6) AS first, CAST(0 AS DOUBLE) AS first__missing,
       round(CASE WHEN l.birth_date = '' OR r.birth_date = '' THEN 0
                  ELSE sqrt(abs(date_diff('day', try_cast(l.birth_date AS DATE), try_cast(r.birth_date AS DATE)))) END, 6) AS birth_date,
-      CASE WHEN l.birth_date = '' OR r.birth_date = '' THEN 1.0 ELSE 0.0 END AS birth_date__missing,
-      CASE WHEN list_has_any(l.telephones, r.telephones) THEN 1.0 ELSE 0.0 END AS telephones,
-      CASE WHEN len(l.telephones) = 0 OR len(r.telephones) = 0 THEN 1.0 ELSE 0.0 END AS telephones__missing,
+      CAST(l.birth_date = '' OR r.birth_date = '' AS DOUBLE) AS birth_date__missing,
+      CAST(list_has_any(l.telephones, r.telephones) AS DOUBLE) AS telephones,
+      CAST(len(l.telephones) = 0 OR len(r.telephones) = 0 AS DOUBLE) AS telephones__missing,
       round({_EDIT.format('birth_family_name')} * {_EDIT.format('birth_first_name')}, 6) AS combined_name
     FROM {_FULL}""", PERSON_KEYS, PERSON_PAIRS))
 def g7_g9_features(spark: SparkSession, sf: str) -> DataFrame:

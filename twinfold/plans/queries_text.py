@@ -218,7 +218,7 @@ def p17_quarantine(spark: SparkSession, sf: str) -> DataFrame:
 @query("c1_normalize_text", f"SELECT doc_id, md5(n) AS digest, length(n) AS n_chars FROM (SELECT doc_id, {norm('text')} AS n FROM documents)")
 def c1_normalize_text(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "documents").select("doc_id", text.normalize_text("text").alias("n"))
-    return df.selectExpr("doc_id", "md5(n) as digest", "length(n) as n_chars")
+    return df.selectExpr("doc_id", "md5(n) as digest", "cast(length(n) as bigint) as n_chars")
 
 
 @query("c2_clean_cell", f"""
@@ -227,7 +227,7 @@ def c1_normalize_text(spark: SparkSession, sf: str) -> DataFrame:
     SELECT doc_id, len(l) AS n_lines, md5(array_to_string(l, '|')) AS digest FROM lines""")
 def c2_clean_cell(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "documents").select("doc_id", text.clean_list(F.split("text", "\n")).alias("l"))
-    return df.selectExpr("doc_id", "size(l) as n_lines", "md5(array_join(l, '|')) as digest")
+    return df.selectExpr("doc_id", "cast(size(l) as bigint) as n_lines", "md5(array_join(l, '|')) as digest")
 
 
 @query("c3_parse_nested_list", over_persons(
@@ -256,7 +256,7 @@ _WORDS = f"list_filter(list_transform(string_split(text, ' '), lambda v: {norm('
 def c6_unique_non_empty(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "conversations").select(
         "conv_id", "turn", text.unique_non_empty(F.split("text", " ")).alias("l"))
-    return df.selectExpr("conv_id", "turn", "size(l) as n_words", "md5(array_join(sort_array(l), '|')) as digest")
+    return df.selectExpr("conv_id", "turn", "cast(size(l) as bigint) as n_words", "md5(array_join(sort_array(l), '|')) as digest")
 
 
 @query("c7_full_names", over_clean("""
@@ -281,7 +281,7 @@ def c8_addresses(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("c9_c11_casts", """
     SELECT o_orderkey, coalesce(try_cast(split_part(o_orderpriority, '-', 1) AS BIGINT), -1) AS level,
-           -1 AS no_level, coalesce(try_cast(split_part(o_orderpriority, '-', 1) AS DOUBLE), 0) AS level_double,
+           CAST(-1 AS BIGINT) AS no_level, coalesce(try_cast(split_part(o_orderpriority, '-', 1) AS DOUBLE), 0) AS level_double,
            o_orderstatus AS status FROM orders""")
 def c9_c11_casts(spark: SparkSession, sf: str) -> DataFrame:
     level = F.split_part("o_orderpriority", F.lit("-"), F.lit(1))
