@@ -38,7 +38,8 @@ def test_hot_blocks_lose_no_pair(spark, max_block):
         assert (tuple(r.l), tuple(r.r)) == (values[r.left_id], values[r.right_id])
     assert pairs_of(carried.distinct()) == want
     new, base = df.filter("record_id < 10"), df.filter("record_id >= 10")
-    crossed = blocking.cross_candidates(new, base, rules[:1], ["a"], max_block=max_block).selectExpr(
+    index = blocking.index_base(base, rules[:1], ["a"], max_block=max_block, keep=max_block == 3)
+    crossed = blocking.cross_candidates(new, index, rules[:1], ["a"]).selectExpr(
         "query_id as left_id", "record_id as right_id")
     assert pairs_of(crossed) == [p for p in sorted((x[0], y[0]) for x in rows[:10] for y in rows[10:] if x[1] == y[1])]
 

@@ -126,18 +126,24 @@ def candidate_pairs(df: DataFrame, rules: Sequence[Rule], id_column: str = "reco
                              "if(a.id < b.id, b.payload, a.payload) as r")
 
 
-def cross_candidates(new: DataFrame, base: DataFrame, rules: Sequence[Rule], payload: Sequence[str],
-                     id_column: str = "record_id", max_block: int = MAX_BLOCK) -> DataFrame:
+def index_base(base: DataFrame, rules: Sequence[Rule], payload: Sequence[str], id_column: str = "record_id",
+               max_block: int = MAX_BLOCK, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Hot keys and placed blocks of a base table; with ``keep`` stored, to serve many lookups."""
+    hot = hot_keys(block_table(base, rules, id_column), max_block)
+    side = _with_parts(block_table(base, rules, id_column, payload), hot)
+    return hot, stored(side, "base-blocks") if keep else side
+
+
+def cross_candidates(new: DataFrame, index: tuple[DataFrame, DataFrame], rules: Sequence[Rule],
+                     payload: Sequence[str], id_column: str = "record_id") -> DataFrame:
     """Pairs of a new and a base record that share a key: ``query_id, record_id, l, r``.
 
     Large base blocks are cut into pieces and the new side is repeated per
     piece.  Which side is broadcast, if any, is left to the measured sizes.
     """
-    hot = hot_keys(block_table(base, rules, id_column), max_block)
-    new_side = _with_parts(block_table(new, rules, id_column, payload), hot)
-    base_side = _with_parts(block_table(base, rules, id_column, payload), hot)
-    new_side = new_side.selectExpr("id", "payload", "rule", "key",
-                                   "explode(sequence(0, coalesce(parts, 1) - 1)) as part")
+    hot, base_side = index
+    new_side = _with_parts(block_table(new, rules, id_column, payload), hot).selectExpr(
+        "id", "payload", "rule", "key", "explode(sequence(0, coalesce(parts, 1) - 1)) as part")
     on = "a.rule = b.rule and a.key = b.key and a.part = b.part"
     return (new_side.alias("a").join(base_side.alias("b"), F.expr(on))
             .selectExpr("a.id as query_id", "b.id as record_id", "a.payload as l", "b.payload as r"))

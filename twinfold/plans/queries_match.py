@@ -184,6 +184,15 @@ def j4_w1_membership(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.with_cluster_size(joined).select("id", "cluster_id", "cluster_size")
 
 
+@query("p7_o2_non_sensitive", over_clean_recursive("""
+    SELECT cluster_id, 1.0::DOUBLE AS confidence_score, count(*) OVER (PARTITION BY cluster_id) AS cluster_size,
+           p.id, p.origin, p.birth_family_name, p.birth_first_name
+    FROM persons p LEFT JOIN clusters c ON c.record_id = p.id""", *_CLUSTER_CTES))
+def p7_o2_non_sensitive(spark: SparkSession, sf: str) -> DataFrame:
+    members = l1_match_components(spark, sf).withColumn("confidence_score", F.lit(1.0))
+    return writers.export_frame(persons(spark, sf), members, keep_columns=MatchConfig().non_sensitive_columns)
+
+
 @query("s6_cluster_export", over_clean_recursive("""
     SELECT CAST(cluster_id AS VARCHAR) AS cluster_id, CAST(count(*) OVER (PARTITION BY cluster_id) AS VARCHAR) AS cluster_size,
            CAST(p.id AS VARCHAR) AS id, p.origin, p.birth_family_name, p.birth_first_name

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from twinfold.config import LINK_THRESHOLD, MatchConfig
 from twinfold.operators.blocking import Rule
 from twinfold.operators.clean import preprocess, with_errors
-from twinfold.operators.link import link_records
+from twinfold.operators.link import base_lookup, link_records
 from twinfold.operators.scoring import MatchModel
 
 
@@ -20,12 +20,14 @@ def link_stream(arriving: DataFrame, base: DataFrame, blocking: Sequence[Rule],
                 available_now: bool = False) -> StreamingQuery:
     """Match each micro-batch of arriving records against a base table.
 
-    ``base`` should be a stored table of cleaned records: it is read by every
-    batch.  A batch writes one folder named by its id, so a batch that is run
+    The base table of cleaned records is keyed and stored once; a batch only
+    joins with those keys.  A batch writes one folder named by its id, so a batch that is run
     again after a failure replaces its own output instead of repeating it.
     """
+    index = base_lookup(base, blocking, model, threshold)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        links = link_records(batch, base, blocking, model, threshold)
+        links = link_records(batch, base, blocking, model, threshold, index)
         links.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     writer = arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
