@@ -1,7 +1,8 @@
 """Words and hashes of a batch of texts as numpy arrays over their UTF-8 bytes.
 
 Words are runs of bytes other than the ASCII white space (space, tab, line
-feed, vertical tab, form feed, carriage return); A-Z are lower-cased.
+feed, vertical tab, form feed, carriage return) or another set of separators;
+A-Z are lower-cased.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: All ASCII but letters and digits, for words without punctuation.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = (np.ones(1, U64), np.ones(1, U64))
@@ -47,10 +50,10 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Chunk:
     """Some whole texts: lower-cased bytes, words and their texts."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, separators: np.ndarray = SPACE):
         """``bounds``: where the texts begin and end, one more than there are texts."""
         self.data, self.bounds = LOWER[data], bounds
-        body = ~SPACE[self.data]
+        body = ~separators[self.data]
         first, last = body.copy(), body.copy()
         first[1:] &= ~body[:-1]
         last[:-1] &= ~body[1:]
@@ -73,7 +76,7 @@ class Chunk:
         return self.span_hashes(self.start, self.end)
 
 
-def chunks(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, Chunk]]:
+def chunks(texts: pa.Array, most: int = 1 << 20, separators: np.ndarray = SPACE) -> Iterator[tuple[int, Chunk]]:
     """The texts (null: empty) in chunks of about ``most`` bytes, with the number of each chunk's first text.
 
     A longer text is a chunk of its own: it is never cut.
@@ -86,7 +89,7 @@ def chunks(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, Chunk]]:
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
-        yield at, Chunk(data[offsets[at]: offsets[to]], offsets[at: to + 1] - offsets[at])
+        yield at, Chunk(data[offsets[at]: offsets[to]], offsets[at: to + 1] - offsets[at], separators)
         at = to
 
 

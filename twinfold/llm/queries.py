@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import exact, mixing, quality
+from twinfold.llm import bpe, exact, mixing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,6 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
@@ -33,6 +39,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "source", "copies", "rate")
 
 
+@_query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.with_score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @_query("op6_quality", quality.SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -46,3 +60,11 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 """)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.copy_groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@_query("op10_bpe")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = bpe.read_tokenizer(tokenizer_path())
+    encoded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer)
+    decoded = bpe.decode(encoded, tokenizer)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
