@@ -86,10 +86,10 @@ def thresholds(measured: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     value = F.struct("rows", *FENCES)
     kinds = sketched.filter("level = 0").select("__lang", "__source", value.alias("own"))
     langs = sketched.filter("level = 1").select("__lang", value.alias("lang"))
-    every = sketched.filter("level = 3").select(value.alias("every"), F.lit(1).alias("__one"))
-    chosen = (kinds.join(langs, "__lang").withColumn("__one", F.lit(1)).join(every, "__one")
+    every = sketched.filter("level = 3").select(value.alias("every")).scalar()
+    chosen = (kinds.join(langs, "__lang")
               .withColumn("q", F.when(F.col("own.rows") >= min_rows, F.col("own"))
-                          .when(F.col("lang.rows") >= min_rows, F.col("lang")).otherwise(F.col("every"))))
+                          .when(F.col("lang.rows") >= min_rows, F.col("lang")).otherwise(every)))
     bounds = []
     for c, (times, least) in FENCES.items():
         q1, q3 = F.col(f"q.{c}")[0], F.col(f"q.{c}")[1]
