@@ -30,7 +30,7 @@ from twinfold.sources.lineage import cut_lineage, stored
 
 _STEPS = 60  # at most; a step halves the bracket of lambda where Newton's step leaves it
 _MENDS = 4
-_SLICE = 10_000  # documents ranked in one group
+_SLICE = 1_000  # documents ranked in one group
 
 
 def word_count(text: Column) -> Column:

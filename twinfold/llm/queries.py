@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import bpe, exact, minhash, mixing, quality, toxicity
+from twinfold.llm import bpe, exact, html_crf, licenses, lines, minhash, mixing, quality, quotes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,11 +39,23 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "source", "copies", "rate")
 
 
+@_query("op2_html_crf")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_crf.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), html_crf.train())
+    return pages.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 @_query("op3_minhash", minhash.SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+@_query("op4_quotes")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(_table(spark, sf_dir, "conversations")).select(
+        "conv_id", "turn", "role", "body", "n_quotes", "n_linked", "reply_to", "thread", "position")
+
+
 @_query("op5_toxicity")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
@@ -58,6 +70,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@_query("op7_lines")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @_query("op8_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
   doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
@@ -67,6 +84,22 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.copy_groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@_query("op9_licenses")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_notices(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("matches", lambda m: m["phrase"])
+
+    def labels(matches):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["label"]))), ",")
+
+    starts = F.transform(base, lambda m: m["first_word"])
+    score = F.array_max(F.transform("matches", lambda m: m["similarity"]))
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), labels(base).alias("base_labels"), labels(F.col("matches")).alias("labels"),
+        F.coalesce(score, F.lit(0.0)).alias("score"))
+
+
 @_query("op10_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = bpe.read_tokenizer(tokenizer_path())
