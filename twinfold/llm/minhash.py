@@ -124,29 +124,37 @@ def _short_list_pairs(own: DataFrame, reps: DataFrame) -> DataFrame:
     return both.select("u", "v", agree.alias("matches")).filter(F.col("matches") >= MATCHES)
 
 
+def _overlap(m: str, n: str) -> Column:
+    """How many shingles two sets of ``m`` and ``n`` share at least if they are similar enough."""
+    return F.ceil(PERCENT * (F.col(m) + F.col(n)) / (100 + PERCENT)).cast("int")
+
+
 def _crowded_posts(crowded: DataFrame) -> DataFrame:
-    """``rep, n, shingle``: of each crowded text so many of its rarest shingles that two texts of the wanted similarity share one.
+    """``rep, n, rare, at, shingle``: the first shingles of each crowded text and their places, from 0.
 
-    All texts order shingles alike: those in few crowded texts first, then by value.
+    All texts order shingles alike: those in few crowded texts first (``rare`` of
+    them), then by value.  Two texts that share ``o`` shingles have one in common
+    among the first ``n - o + 1`` of either.
     """
     every = crowded.select("rep", F.explode("shingles").alias("shingle"))
     long = stored(every.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LONG_LIST).select("shingle"), "long-lists")
     rare = every.join(long, "shingle", "left_anti").groupBy("rep").agg(F.array_sort(F.collect_list("shingle")).alias("rare"))
+    none = F.expr("cast(array() as array<bigint>)")
     size = F.size("shingles")
-    length = (size - F.ceil(size * PERCENT / 100).cast("int") + 1)
-    ordered = (crowded.join(rare, "rep", "left").withColumn("rare", F.coalesce("rare", F.expr("array()").cast("array<bigint>")))
-               .withColumn("n", size).withColumn("length", length))
+    ordered = (crowded.join(rare, "rep", "left").withColumn("rare", F.coalesce("rare", none))
+               .withColumn("n", size).withColumn("length", size - F.ceil(size * PERCENT / 100).cast("int") + 1))
     common = F.when(F.size("rare") < F.col("length"), F.slice(F.array_except("shingles", "rare"), 1, F.greatest(F.col("length") - F.size("rare"), F.lit(1))))
-    chosen = F.concat(F.slice("rare", 1, F.col("length")), F.coalesce(common, F.expr("array()").cast("array<bigint>")))
-    return ordered.select("rep", "n", F.explode(chosen).alias("shingle"))
+    chosen = F.concat(F.slice("rare", 1, F.col("length")), F.coalesce(common, none))
+    return ordered.select("rep", "n", F.size("rare").alias("rare"), F.posexplode(chosen).alias("at", "shingle"))
 
 
 def _heads(posts: DataFrame) -> DataFrame:
-    """``u, v``: each crowded text with the list head (smallest id) that it meets most often."""
-    heads = stored(posts.groupBy("shingle").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle", "head"), "heads")
-    met = (posts.join(heads, "shingle").filter(F.col("rep") != F.col("head")).groupBy("rep", "head").agg(F.count(F.lit(1)).alias("n"))
-           .groupBy("rep").agg(F.max(F.struct(F.col("n"), -F.col("head"))).alias("best")))
-    return met.select((-F.col("best").getField("col2")).alias("u"), F.col("rep").alias("v"))
+    """``u, v``: each crowded text with the list head that it meets most often; a head has the fewest rare shingles of its list."""
+    head = F.min(F.struct("rare", "rep")).alias("head")
+    heads = posts.groupBy("shingle").agg(head, F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle", F.col("head.rep").alias("head"))
+    met = (posts.join(stored(heads, "heads"), "shingle").filter(F.col("rep") != F.col("head")).groupBy("rep", "head").agg(F.count(F.lit(1)).alias("n"))
+           .groupBy("rep").agg(F.max(F.struct("n", (-F.col("head")).alias("back"))).alias("best")))
+    return met.select((-F.col("best.back")).alias("u"), F.col("rep").alias("v"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -167,14 +175,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _across(posts: DataFrame, components: DataFrame) -> DataFrame:
-    """``u, v`` (u < v): crowded texts of different components that share a list."""
+    """``u, v`` (u < v): crowded texts of different components that may be similar enough.
+
+    In a pair of ``m`` and ``n`` shingles (m <= n) both must have a common shingle
+    among the first that :func:`_overlap` leaves: for the smaller text these are
+    a seventh of its shingles.  The larger one is posted under the sizes that
+    its list has smaller texts of.
+    """
     labelled = posts.join(components, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     labelled = stored(labelled, "crowded-posts")
     mixed = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     inside = labelled.join(stored(mixed.select("shingle"), "mixed-lists"), "shingle", "left_semi")
-    a, b = inside.alias("a"), inside.alias("b")
-    fits = (100 * F.least("a.n", "b.n") >= PERCENT * F.greatest("a.n", "b.n"))
-    met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") < F.col("b.component")) & fits)
+    small = inside.filter(F.col("at") <= F.col("n") - _overlap("n", "n")).withColumn("m", F.col("n"))
+    sizes = stored(small.groupBy("shingle").agg(F.collect_set("n").alias("sizes")), "list-sizes")
+    fits = "m -> m <= n and 100 * m >= {0} * n and at <= n - ceil({0} * (m + n) / (100 + {0}))".format(PERCENT)
+    large = inside.join(sizes, "shingle").withColumn("m", F.explode(F.expr(f"filter(sizes, {fits})")))
+    a, b = small.alias("a"), large.alias("b")
+    met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.m") == F.col("b.m")) & (F.col("a.component") != F.col("b.component"))
+                 & ((F.col("a.n") < F.col("b.n")) | (F.col("a.rep") < F.col("b.rep"))))
     return met.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct()
 
 
