@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.sources.lineage import cut_lineage
-
-MAX_COMPONENT = 200  # members whose pairwise distances one task holds
-_TIGHTEN_ROUNDS = 6
+from twinfold.sources.lineage import cut_lineage, stored
 
 
 def connected_components(edges: DataFrame, left: str = "left_id", right: str = "right_id") -> DataFrame:
@@ -21,17 +14,16 @@ def connected_components(edges: DataFrame, left: str = "left_id", right: str = "
     Alternating star contraction: every node points its larger neighbours at
     the smallest one it knows, first by larger then by smaller neighbours, so
     the number of rounds grows with the logarithm of the component size.  A
-    node with very many neighbours is a join against one row per node, which
-    adaptive execution can split; nothing gathers its neighbours in one task.
+    node with very many neighbours is a join against one stored row per node:
+    both sides are exchanged, so adaptive execution can split the node's rows.
     """
     links = cut_lineage(_canonical(edges.select(F.col(left).alias("u"), F.col(right).alias("v"))))
-    state = None
     while True:
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        after = cut_lineage(_small_star(_large_star(links)))
+        same = after.count() == links.count() and after.join(links, ["u", "v"], "left_anti").isEmpty()
+        links = after
+        if same:
             break
-        state = now
-        links = cut_lineage(_small_star(_large_star(links)))
     roots = links.select(F.col("v").alias("record_id")).distinct().select("record_id", F.col("record_id").alias("component"))
     return links.select(F.col("u").alias("record_id"), F.col("v").alias("component")).unionByName(roots)
 
@@ -44,140 +36,102 @@ def _canonical(edges: DataFrame) -> DataFrame:
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "stars")
     return _canonical(both.join(low, "u").filter(F.col("v") > F.col("u"))
                       .select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     # every edge is (larger, smaller): the smaller neighbours of u are exactly its v
-    low = links.groupBy("u").agg(F.min("v").alias("m"))
+    low = stored(links.groupBy("u").agg(F.min("v").alias("m")), "stars")
     moved = links.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return _canonical(moved.unionByName(low.select("u", F.col("m").alias("v"))))
 
 
-def centroid_linkage(distance: np.ndarray, limit: float, weight: np.ndarray | None = None) -> np.ndarray:
-    """Label per item: merge the closest centroids until the closest are farther apart than ``limit``.
-
-    Lance-Williams update on squared distances.  ``weight`` is the number of
-    records an item stands for.
-    """
-    n = len(distance)
-    d2 = distance.astype(float) ** 2
-    np.fill_diagonal(d2, np.inf)
-    size = np.ones(n) if weight is None else weight.astype(float).copy()
-    label = np.arange(n)
-    for _ in range(n - 1):
-        i, j = sorted(divmod(int(d2.argmin()), n))
-        if not d2[i, j] <= limit * limit:
-            break
-        a, b = size[i] / (size[i] + size[j]), size[j] / (size[i] + size[j])
-        merged = a * d2[i] + b * d2[j] - a * b * d2[i, j]
-        d2[i, :], d2[:, i] = merged, merged
-        d2[i, i] = np.inf
-        d2[j, :], d2[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        label[label == label[j]] = label[i]
-    return label
-
+def agglomerate(items: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
+    """L2-L4: ``record_id, cluster_id, confidence_score`` by centroid linkage, one rule for components of every size.
 
-def confidences(distance: np.ndarray, label: np.ndarray, weight: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """L3: ``1 - sqrt(mean squared distance)`` to the other records of the cluster, 1 for a singleton.
+    ``items`` has ``record_id, copies, own``: how many identical records an item
+    stands for and the score of two of them.  ``edges`` has ``left_id, right_id,
+    score``; the distance of a scored pair is ``1 - score``, that of any other 1.
 
-    ``own`` is the distance between two copies of the same item.
+    The squared distance of two centroids is the mean squared distance between
+    their members minus the variance of either cluster, so sums per cluster and
+    per pair of clusters are all that is kept.  In a round every cluster finds
+    its nearest neighbour among those it has scored pairs with, and mutual
+    nearest ones no farther apart than ``1 - threshold`` merge.  Ties are broken
+    by a hash of the pair, so that a mass of equal distances merges in a
+    logarithmic number of rounds.
     """
-    d2 = distance.astype(float) ** 2
-    np.fill_diagonal(d2, 0.0)
-    mates = label[:, None] == label[None, :]
-    others = mates @ weight - 1
-    total = (d2 * mates) @ weight + (weight - 1) * own**2
-    return np.where(others > 0, 1 - np.sqrt(total / np.maximum(others, 1)), 1.0)
-
-
-_MEMBER_SCHEMA = "record_id long, cluster_id long, confidence_score double"
-
-
-def _cluster_one(left: np.ndarray, right: np.ndarray, score: np.ndarray, copies: np.ndarray,
-                 threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    alone = left == right
-    order = np.argsort(left[alone])
-    ids, own, weight = left[alone][order], 1 - score[alone][order], copies[alone][order].astype(float)
-    distance = np.ones((len(ids), len(ids)))
-    i, j = np.searchsorted(ids, left[~alone]), np.searchsorted(ids, right[~alone])
-    distance[i, j] = distance[j, i] = 1 - score[~alone]
-    label = centroid_linkage(distance, 1 - threshold, weight)
-    # items are sorted by id, so a label is the position of the smallest id of its cluster
-    return ids, ids[label], confidences(distance, label, weight, own)
-
-
-def _cluster_batches(threshold: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def clusters(pdf: pd.DataFrame) -> pd.DataFrame:
-        columns = [pdf[c].to_numpy() for c in ("left_id", "right_id", "score", "copies")]
-        cuts = np.flatnonzero(np.diff(pdf.component.to_numpy())) + 1
-        parts = [_cluster_one(*group, threshold) for group in zip(*(np.split(c, cuts) for c in columns))]
-        return pd.DataFrame(dict(zip(("record_id", "cluster_id", "confidence_score"), map(np.concatenate, zip(*parts)))))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_part = None  # the component that may go on in the next batch
-        for pdf in batches:
-            pdf = pdf if open_part is None else pd.concat([open_part, pdf])
-            going_on = (pdf.component == pdf.component.iloc[-1]).to_numpy()
-            open_part = pdf[going_on]
-            if not going_on.all():
-                yield clusters(pdf[~going_on])
-        if open_part is not None:
-            yield clusters(open_part)
-
-    return run
-
-
-def agglomerate(component_pairs: DataFrame, threshold: float) -> DataFrame:
-    """L2-L4 for components whose pairs are all scored.
-
-    Input ``component, left_id, right_id, score, copies``; a row with equal ids
-    describes one member: how many identical records it stands for and their
-    mutual score.  A component has at most :data:`MAX_COMPONENT` members, so a
-    task holds little at a time; many components share one batch.
-    """
-    grouped = component_pairs.repartition("component").sortWithinPartitions("component")
-    return grouped.mapInPandas(_cluster_batches(threshold), _MEMBER_SCHEMA)
-
-
-def component_sizes(components: DataFrame) -> DataFrame:
-    return components.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-
-
-def split_components(edges_at: Callable[[DataFrame | None, float], DataFrame], threshold: float,
-                     max_component: int = MAX_COMPONENT) -> Iterator[tuple[DataFrame, bool]]:
-    """Components of the match graph, those above ``max_component`` split by a higher threshold.
-
-    ``edges_at(members, t)`` gives the pairs with score ≥ t, among ``members``
-    if given.  Yields ``(record_id, component)`` frames with a flag telling
-    whether their components are small enough to agglomerate; what remains
-    large at the highest threshold is yielded as it is.
-    """
-    members, t = None, threshold
-    for step in range(_TIGHTEN_ROUNDS):
-        parts = connected_components(edges_at(members, t))
-        sized = cut_lineage(parts.join(component_sizes(parts), "component"))
-        yield sized.filter(F.col("members") <= max_component).select("record_id", "component"), True
-        large = sized.filter(F.col("members") > max_component).select("record_id", "component")
-        if large.isEmpty():
-            return
-        if step == _TIGHTEN_ROUNDS - 1:
-            yield large, False
-            return
-        members, t = large.select("record_id"), (1 + t) / 2
+    limit2 = (1 - threshold) ** 2
+    near = 1 - (1 - F.col("score")) * (1 - F.col("score"))  # what a scored pair takes off the squared distance 1
+    weight = items.select("record_id", F.col("copies").cast("double").alias("w"))
+    pairs = stored(edges.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), near.alias("near"))
+                   .join(weight.select(F.col("record_id").alias("a"), F.col("w").alias("wa")), "a")
+                   .join(weight.select(F.col("record_id").alias("b"), F.col("w").alias("wb")), "b"), "edges")
+    links = stored(pairs.select("a", "b", (F.col("near") * F.col("wa") * F.col("wb")).alias("s")), "links")
+    # w: records, q: sum of squared weights, s: sum over the scored pairs inside
+    state = stored(weight.select(F.col("record_id").alias("c"), "w", (F.col("w") * F.col("w")).alias("q"), F.lit(0.0).alias("s")), "clusters")
+    label = stored(weight.select("record_id", F.col("record_id").alias("c")), "labels")
+    while True:
+        merged = stored(_mutual_nearest(links, state, limit2), "merged")
+        if merged.isEmpty():
+            break
+        inside = merged.select(F.col("keep").alias("c"), F.lit(0.0).alias("w"), F.lit(0.0).alias("q"), "s")
+        state = stored(_renamed(state, merged, "c").unionByName(inside).groupBy("c")
+                       .agg(F.sum("w").alias("w"), F.sum("q").alias("q"), F.sum("s").alias("s")), "clusters")
+        moved = _renamed(_renamed(links, merged, "a"), merged, "b").filter(F.col("a") != F.col("b"))
+        links = stored(moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s")), "links")
+        label = stored(_renamed(label, merged, "c"), "labels")
+    return _confidences(items, pairs, label, state)
+
+
+def _renamed(df: DataFrame, merged: DataFrame, column: str) -> DataFrame:
+    names = merged.select(F.col("gone").alias(column), F.col("keep").alias("__keep"))
+    return df.join(names, column, "left").withColumn(column, F.coalesce("__keep", column)).drop("__keep").select(df.columns)
+
+
+def _mutual_nearest(links: DataFrame, state: DataFrame, limit2: float) -> DataFrame:
+    """``keep, gone, s``: clusters to merge; the smaller id stays."""
+    spread = ((F.col("w") * F.col("w") - F.col("q")) / 2 - F.col("s")) / (F.col("w") * F.col("w"))
+    of = {x: state.select(F.col("c").alias(x), F.col("w").alias(f"w{x}"), spread.alias(f"v{x}")) for x in "ab"}
+    d2 = 1 - F.col("s") / (F.col("wa") * F.col("wb")) - F.col("va") - F.col("vb")
+    close = (links.join(of["a"], "a").join(of["b"], "b")
+             .select("a", "b", "s", F.struct(d2.alias("d2"), F.xxhash64("a", "b").alias("h"), F.col("a").alias("a"), F.col("b").alias("b")).alias("order"))
+             .filter(F.col("order.d2") <= limit2))
+    close = stored(close, "close")
+    ends = close.select(F.col("a").alias("c"), "order").unionByName(close.select(F.col("b").alias("c"), "order"))
+    nearest = stored(ends.groupBy("c").agg(F.min("order").alias("best")), "nearest")
+    best = {x: nearest.select(F.col("c").alias(x), F.col("best").alias(f"best_{x}")) for x in "ab"}
+    both = close.join(best["a"], "a").join(best["b"], "b")
+    return (both.filter((F.col("order") == F.col("best_a")) & (F.col("order") == F.col("best_b")))
+            .select(F.least("a", "b").alias("keep"), F.greatest("a", "b").alias("gone"), "s"))
+
+
+def _confidences(items: DataFrame, pairs: DataFrame, label: DataFrame, state: DataFrame) -> DataFrame:
+    """L3: ``1 - sqrt(mean squared distance)`` to the other records of the cluster, 1 for a singleton."""
+    of = {x: label.select(F.col("record_id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab"}
+    mates = pairs.join(of["a"], "a").join(of["b"], "b").filter(F.col("ca") == F.col("cb"))
+    sides = mates.select(F.col("a").alias("record_id"), (F.col("near") * F.col("wb")).alias("near")).unionByName(
+        mates.select(F.col("b").alias("record_id"), (F.col("near") * F.col("wa")).alias("near")))
+    nears = stored(sides.groupBy("record_id").agg(F.sum("near").alias("near")), "nears")
+    sizes = state.select("c", F.col("w").alias("records"))
+    full = items.join(label, "record_id").join(nears, "record_id", "left").join(sizes, "c")
+    own2 = (1 - F.col("own")) * (1 - F.col("own"))
+    total = F.col("records") - F.col("copies") - F.coalesce("near", F.lit(0.0)) + (F.col("copies") - 1) * own2
+    others = F.col("records") - 1
+    score = F.when(others > 0, 1 - F.sqrt(F.greatest(total, F.lit(0.0)) / others)).otherwise(1.0)
+    return full.select("record_id", F.col("c").alias("cluster_id"), score.alias("confidence_score"))
 
 
 def with_cluster_size(df: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """Rows of the cluster next to each row, NULL where there is no cluster.
 
-    The sizes are aggregated before the shuffle and joined back, so one huge
-    cluster, or a mass of rows without one, does not pass through one task.
+    The sizes are aggregated before the shuffle, stored and joined back: as both
+    sides are exchanged, a huge cluster, or a mass of rows without one, is split.
     """
-    sizes = (df.filter(F.col(cluster).isNotNull()).groupBy(cluster)
-             .agg(F.count(F.lit(1)).alias("cluster_size")))
+    sizes = stored(df.filter(F.col(cluster).isNotNull()).groupBy(cluster)
+                   .agg(F.count(F.lit(1)).alias("cluster_size")), "cluster-sizes")
     return df.join(sizes, cluster, "left")
 
 

@@ -67,7 +67,7 @@ def clean_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
 BLOCKING: tuple[Rule, ...] = (
     rule(("whole_field", "birth_family_name")),
     rule(("common_set_element", "emails")),
-    rule(("same_seven_char_start", "birth_family_name")),
+    rule(("same_seven_char_start", "birth_family_name"), ("whole_field", "birth_date")),
 )
 
 FIELDS = (

@@ -66,7 +66,7 @@ _KEYS = {
     "k9_hundred_integers_odd": ("hundred_integers_odd", "t",
                                 "list_distinct(list_transform(ints, lambda n: (n + 50) // 100 * 100 + n % 2))"),
     "k10_first_integer": ("first_integer", "t", "[ints[1]]"),
-    "k11_ngram_tokens": ("ngram_tokens", "t", _word_grams(2)),
+    "k11_ngram_tokens": ("ngram_tokens", "t", _word_grams(4)),
     "k12_common_two_tokens": ("common_two_tokens", "t", _word_grams(2)),
     "k13_common_three_tokens": ("common_three_tokens", "t", _word_grams(3)),
     "k14_fingerprint": ("fingerprint", "t", "[array_to_string(list_sort(w), ' ')]"),
@@ -103,7 +103,8 @@ def _register_keys(name: str, predicate: str, column: str, sql: str | None) -> N
         df = values(spark, sf)
         if predicate == "double_metaphone":
             df = bk.with_phonetic(df, [column])
-        return df.select("record_id", F.explode(bk.keys(predicate, column)).alias("block_key"))
+        made = F.expr(bk.ngram_tokens(column, 4)) if predicate == "ngram_tokens" else bk.keys(predicate, column)
+        return df.select("record_id", F.explode(made).alias("block_key"))
 
     oracle = None if sql is None else over_clean(
         f"SELECT record_id, CAST(unnest({sql}) AS VARCHAR) AS block_key FROM w", _VALUES)
@@ -143,7 +144,7 @@ def k35_round_to_1(spark: SparkSession, sf: str) -> DataFrame:
 PERSON_KEYS = """block_keys AS (
   SELECT record_id, 0 AS rule, birth_family_name AS k FROM clean WHERE birth_family_name <> ''
   UNION ALL SELECT record_id, 1, unnest(emails) FROM clean
-  UNION ALL SELECT record_id, 2, left(birth_family_name, 7) FROM clean WHERE birth_family_name <> ''
+  UNION ALL SELECT record_id, 2, concat(left(birth_family_name, 7), chr(31), birth_date) FROM clean WHERE birth_family_name <> '' AND birth_date <> ''
 )"""
 PERSON_PAIRS = """pairs AS (
   SELECT DISTINCT a.record_id AS left_id, b.record_id AS right_id
@@ -151,10 +152,9 @@ PERSON_PAIRS = """pairs AS (
 )"""
 
 
-@query("j1_candidate_pairs", over_clean("SELECT left_id, right_id FROM pairs", PERSON_KEYS.split("UNION ALL SELECT record_id, 2")[0] + ")",
-                                        PERSON_PAIRS))
+@query("j1_candidate_pairs", over_clean("SELECT left_id, right_id FROM pairs", PERSON_KEYS, PERSON_PAIRS))
 def j1_candidate_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return blocking.candidate_pairs(clean_persons(spark, sf), BLOCKING[:2])
+    return blocking.candidate_pairs(clean_persons(spark, sf), BLOCKING)
 
 
 @query("u1_block_sizes", over_clean("SELECT rule, k AS key, count(*) AS records FROM block_keys GROUP BY 1, 2", PERSON_KEYS))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.config import FieldSpec, MatchConfig
@@ -12,6 +12,7 @@ from twinfold.operators import blocking, cluster, learn, link, scoring
 from twinfold.operators.blocking import rule
 from twinfold.operators.clean import preprocess
 from twinfold.operators.profile import run_counts, score_histogram
+from twinfold.operators.ranking import with_row_index
 from twinfold.plans import dedupe
 from twinfold.plans.oracle import over_clean, over_clean_recursive, over_persons
 from twinfold.plans.persons import BLOCKING, MODEL, clean_persons, persons, table
@@ -82,8 +83,21 @@ _compare("g4_date_distance", "sqrt(abs(date_diff('day', try_cast(l.birth_date AS
 _compare("g6_ratio", ratio_sql("l.birth_family_name", "r.birth_family_name"),
          lambda: sim.ratio(F.col("l.birth_family_name"), F.col("r.birth_family_name")))
 _compare("g10_edit_similarity", _EDIT.format("birth_family_name"), _native("Edit", "birth_family_name"))
-_compare("x1_custom_comparator", "CASE WHEN left(l.birth_first_name, 1) = left(r.birth_first_name, 1) THEN 1.0 ELSE 0.0 END",
-         lambda: (F.left("l.birth_first_name", F.lit(1)) == F.left("r.birth_first_name", F.lit(1))).cast("double"))
+
+
+def same_initial(left: Column, right: Column) -> Column:
+    return (F.left(left, F.lit(1)) == F.left(right, F.lit(1))).cast("double")
+
+
+@query("x1_custom_comparator", over_clean(f"""
+    SELECT left_id, right_id, CASE WHEN left(l.birth_first_name, 1) = left(r.birth_first_name, 1) THEN 1.0::DOUBLE ELSE 0.0 END AS initial,
+      CASE WHEN l.telephones = [] OR r.telephones = [] THEN 0.0::DOUBLE WHEN len(l.telephones) = len(r.telephones) THEN 1.0 ELSE 0.0 END AS as_many,
+      CASE WHEN l.telephones = [] OR r.telephones = [] THEN 1.0::DOUBLE ELSE 0.0 END AS as_many__missing
+    FROM {_FULL}""", PERSON_KEYS, PERSON_PAIRS))
+def x1_custom_comparator(spark: SparkSession, sf: str) -> DataFrame:
+    fields = (FieldSpec("birth_first_name", "Custom", False, name="initial", comparator=same_initial),
+              FieldSpec("telephones", "Custom", True, name="as_many", comparator=lambda a, b: (F.size(a) == F.size(b)).cast("double")))
+    return scoring.add_features(_all_pairs(spark, sf), fields).select("left_id", "right_id", *scoring.feature_names(fields))
 
 
 @query("g5_lists_similar", over_clean(f"""
@@ -184,33 +198,13 @@ def j4_w1_membership(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.with_cluster_size(joined).select("id", "cluster_id", "cluster_size")
 
 
-@query("p7_o2_non_sensitive", over_clean_recursive("""
-    SELECT cluster_id, 1.0::DOUBLE AS confidence_score, count(*) OVER (PARTITION BY cluster_id) AS cluster_size,
-           p.id, p.origin, p.birth_family_name, p.birth_first_name
-    FROM persons p LEFT JOIN clusters c ON c.record_id = p.id""", *_CLUSTER_CTES))
-def p7_o2_non_sensitive(spark: SparkSession, sf: str) -> DataFrame:
-    members = l1_match_components(spark, sf).withColumn("confidence_score", F.lit(1.0))
-    return writers.export_frame(persons(spark, sf), members, keep_columns=MatchConfig().non_sensitive_columns)
-
-
-@query("s6_cluster_export", over_clean_recursive("""
-    SELECT CAST(cluster_id AS VARCHAR) AS cluster_id, CAST(count(*) OVER (PARTITION BY cluster_id) AS VARCHAR) AS cluster_size,
-           CAST(p.id AS VARCHAR) AS id, p.origin, p.birth_family_name, p.birth_first_name
-    FROM persons p LEFT JOIN clusters c ON c.record_id = p.id""", *_CLUSTER_CTES))
-def s6_cluster_export(spark: SparkSession, sf: str) -> DataFrame:
-    members = l1_match_components(spark, sf).withColumn("confidence_score", F.lit(1.0))
-    path = scratch_path(spark, "export")
-    writers.write_clusters(persons(spark, sf), members, path, keep_columns=MatchConfig().non_sensitive_columns)
-    return read_csv(spark, path).select("cluster_id", "cluster_size", "id", "origin", "birth_family_name", "birth_first_name")
-
-
 # centroid linkage and confidence of components of up to three members, in closed form
-_LINKED = f"""members AS (
+_LINKED = """members AS (
   SELECT cluster_id AS c, record_id, row_number() OVER (PARTITION BY cluster_id ORDER BY record_id) AS n,
          count(*) OVER (PARTITION BY cluster_id) AS size FROM clusters
 ), distances AS (
-  SELECT a.c, a.n AS i, b.n AS j, 1 - {_SCORE} AS d FROM members a JOIN members b ON a.c = b.c AND a.n < b.n
-  JOIN clean l ON l.record_id = a.record_id JOIN clean r ON r.record_id = b.record_id
+  SELECT a.c, a.n AS i, b.n AS j, coalesce(1 - m.score, 1) AS d FROM members a JOIN members b ON a.c = b.c AND a.n < b.n
+  LEFT JOIN matches m ON m.left_id = a.record_id AND m.right_id = b.record_id
 ), shapes AS (
   SELECT c, max(d) FILTER (i = 1 AND j = 2) AS d12, max(d) FILTER (i = 1 AND j = 3) AS d13, max(d) FILTER (i = 2 AND j = 3) AS d23
   FROM distances GROUP BY c
@@ -243,6 +237,43 @@ def l6_dataset_deduplication(spark: SparkSession, sf: str) -> DataFrame:
     return membership.withColumn("confidence_score", F.round("confidence_score", 6))
 
 
+@query("l2_long_chain", """
+    SELECT c_custkey AS record_id, c_custkey - CASE WHEN c_custkey % 2 = 0 AND c_custkey > 0 THEN 1 ELSE 0 END AS cluster_id,
+      CASE WHEN c_custkey = 0 OR c_custkey % 2 = 1 AND c_custkey = (SELECT max(c_custkey) FROM customer) THEN 1.0 ELSE 0.9 END::DOUBLE AS confidence_score
+    FROM customer""")
+def l2_long_chain(spark: SparkSession, sf: str) -> DataFrame:
+    # one component of the whole table: every customer matches the next, each second time better
+    ids = table(spark, sf, "customer").select(F.col("c_custkey").cast("bigint").alias("record_id"))
+    score = F.when(F.col("record_id") % 2 == 1, 0.9).otherwise(0.7)
+    edges = (ids.join(ids.select((F.col("record_id") - 1).alias("record_id")), "record_id")
+             .select(F.col("record_id").alias("left_id"), (F.col("record_id") + 1).alias("right_id"), score.alias("score")))
+    items = ids.select("record_id", F.lit(1).alias("copies"), F.lit(1.0).alias("own"))
+    return cluster.agglomerate(items, edges, 0.5).withColumn("confidence_score", F.round("confidence_score", 6))
+
+
+_EXPORT = """FROM persons p LEFT JOIN linked c ON c.record_id = p.id"""
+_EXPORT_ORDER = "row_number() OVER (ORDER BY cluster_id NULLS LAST, p.id) - 1 AS place"
+
+
+@query("p7_o2_non_sensitive", over_clean_recursive(f"""
+    SELECT {_EXPORT_ORDER}, cluster_id, round(confidence_score, 6) AS confidence_score, count(*) OVER (PARTITION BY cluster_id) AS cluster_size,
+           p.id, p.origin, p.birth_family_name, p.birth_first_name {_EXPORT}""", *_LINKED_CTES))
+def p7_o2_non_sensitive(spark: SparkSession, sf: str) -> DataFrame:
+    rows = writers.export_frame(persons(spark, sf), l5_clusters(spark, sf), keep_columns=MatchConfig().non_sensitive_columns)
+    return with_row_index(rows).withColumnRenamed("__index", "place")
+
+
+@query("s6_cluster_export", over_clean_recursive(f"""
+    SELECT CAST(cluster_id AS VARCHAR) AS cluster_id, round(confidence_score, 6) AS confidence_score,
+           CAST(count(*) OVER (PARTITION BY cluster_id) AS VARCHAR) AS cluster_size,
+           CAST(p.id AS VARCHAR) AS id, p.origin, p.birth_family_name, p.birth_first_name {_EXPORT}""", *_LINKED_CTES))
+def s6_cluster_export(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "export")
+    writers.write_clusters(persons(spark, sf), l5_clusters(spark, sf), path, keep_columns=MatchConfig().non_sensitive_columns)
+    return read_csv(spark, path).selectExpr("cluster_id", "cast(confidence_score as double) as confidence_score", "cluster_size", "id", "origin",
+                                            "birth_family_name", "birth_first_name")
+
+
 @query("a13_confidence_histogram", over_clean_recursive("""
     SELECT CAST(least(floor(round(confidence_score, 6) * 20), 19) + 1 AS INT) AS bin, count(*) AS count FROM linked GROUP BY 1""", *_LINKED_CTES))
 def a13_confidence_histogram(spark: SparkSession, sf: str) -> DataFrame:
@@ -250,10 +281,11 @@ def a13_confidence_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("a18_run_counts", over_clean("""
-    SELECT (SELECT count(*) FROM clean) AS records_count, 4 AS columns_count, (SELECT count(*) FROM matches) AS matches_found""", *_SCORED_CTES))
+    SELECT (SELECT count(*) FROM persons) AS records_count,
+      CAST((SELECT count(*) FROM (SELECT unnest(json_keys(to_json(p))) FROM (SELECT p FROM persons p LIMIT 1))) AS INT) AS columns_count, (SELECT count(*) FROM matches) AS matches_found""", *_SCORED_CTES))
 def a18_run_counts(spark: SparkSession, sf: str) -> DataFrame:
     people = clean_persons(spark, sf)
-    return run_counts(people.select("record_id", "sex", "birth_date", "emails"),
+    return run_counts(persons(spark, sf),
                       scoring.matching_pairs(people, BLOCKING, MODEL, 0.5))
 
 
@@ -268,13 +300,17 @@ _LINK_CTES = (
 )
 _LINK_SQL = over_clean("SELECT -1 - left_id AS query_id, right_id AS record_id, round(score, 6) AS confidence_score FROM matches",
                        *_LINK_CTES)
+_RANKED_SQL = over_clean("""
+    SELECT query_id, record_id, confidence_score, row_number() OVER (ORDER BY confidence_score DESC, query_id, record_id) - 1 AS place
+    FROM (SELECT -1 - left_id AS query_id, right_id AS record_id, round(score, 6) AS confidence_score FROM matches)""", *_LINK_CTES)
 
 
-@query("j2_o1_linkage", _LINK_SQL)
+@query("j2_o1_linkage", _RANKED_SQL)
 def j2_o1_linkage(spark: SparkSession, sf: str) -> DataFrame:
     people = clean_persons(spark, sf)
     links = link.link_records(people.withColumn("record_id", -1 - F.col("record_id")), people, BLOCKING, MODEL)
-    return link.ranked_links(links).withColumn("confidence_score", F.round("confidence_score", 6))
+    ranked = link.ranked_links(links.withColumn("confidence_score", F.round("confidence_score", 6)))
+    return with_row_index(ranked).withColumnRenamed("__index", "place")
 
 
 @query("t1_streaming_linkage", _LINK_SQL)
@@ -329,18 +365,26 @@ def true_pairs(people: DataFrame) -> DataFrame:
 
 
 def person_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Verdicts on all candidates, taken from the entity of each record."""
+    """Verdicts on all candidates and on each first copy with the next entity's, taken from the entity of each record."""
     people = clean_persons(spark, sf).select("record_id", "entity_id", *MODEL.columns)
-    pairs = blocking.candidate_pairs(people, BLOCKING)
+    first = people.filter("record_id % 10 = 0").select("record_id")
+    others = (first.join(first.selectExpr("record_id - 10 as record_id"), "record_id")
+              .selectExpr("record_id as left_id", "record_id + 10 as right_id"))
+    pairs = blocking.candidate_pairs(people, BLOCKING).union(others).distinct()
     return blocking.hydrate(pairs, people, ["entity_id"]).selectExpr(
         "left_id", "right_id", "cast(l.entity_id = r.entity_id as int) as label")
 
 
 _LABELS = """labelled AS (SELECT left_id, right_id, CAST(l.entity_id = r.entity_id AS INT) AS label
-  FROM pairs JOIN clean l ON l.record_id = left_id JOIN clean r ON r.record_id = right_id)"""
+  FROM (SELECT left_id, right_id FROM pairs UNION SELECT a.record_id, b.record_id FROM clean a JOIN clean b
+        ON a.record_id % 10 = 0 AND b.record_id = a.record_id + 10) p JOIN clean l ON l.record_id = left_id JOIN clean r ON r.record_id = right_id)"""
 
 
-@query("m1_training_sample")
+@query("m1_training_sample", over_clean("""
+    SELECT s.left_id, s.right_id, l.label FROM (SELECT left_id, right_id FROM labelled
+      ORDER BY md5(concat_ws(':', 0, left_id, right_id)), left_id, right_id LIMIT 500) s
+    LEFT JOIN (SELECT * FROM labelled WHERE label = 1) l ON l.left_id = s.left_id AND l.right_id = s.right_id
+    UNION SELECT left_id, right_id, label FROM labelled WHERE label = 1""", PERSON_KEYS, PERSON_PAIRS, _LABELS))
 def m1_training_sample(spark: SparkSession, sf: str) -> DataFrame:
     labels = person_labels(spark, sf)
     return learn.prepare_training(labels, 500, labels.filter("label = 1"))
@@ -401,7 +445,7 @@ def m2_trained_weights(spark: SparkSession, sf: str) -> DataFrame:
     SELECT left_id, right_id,
       CAST(CASE WHEN l.birth_family_name = r.birth_family_name THEN 1 ELSE 0 END
       + CASE WHEN list_has_any(l.emails, r.emails) THEN 2 ELSE 0 END
-      + CASE WHEN left(l.birth_family_name, 7) = left(r.birth_family_name, 7) THEN 4 ELSE 0 END AS BIGINT) AS mask
+      + CASE WHEN left(l.birth_family_name, 7) = left(r.birth_family_name, 7) AND l.birth_date = r.birth_date AND l.birth_date <> '' THEN 4 ELSE 0 END AS BIGINT) AS mask
     FROM labelled JOIN clean l ON l.record_id = left_id JOIN clean r ON r.record_id = right_id WHERE label = 1""", PERSON_KEYS, PERSON_PAIRS, _LABELS))
 def m6_predicate_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return learn.predicate_coverage(clean_persons(spark, sf), person_labels(spark, sf), BLOCKING)
