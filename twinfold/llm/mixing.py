@@ -101,6 +101,16 @@ def _rounded(cells: DataFrame, solved: DataFrame, most: int) -> DataFrame:
     edge = F.floor(F.col("due") + 0.5)
     before = F.coalesce(F.lag(edge).over(Window.partitionBy("__key").orderBy("size")), F.lit(0))
     out = cut_lineage(due.withColumn("copies", F.least(F.greatest(edge - before, F.lit(0)), most * F.col("n"))).drop("due"))
+    # what one huge document leaves open is filled (or taken away) from the largest documents that fit
+    left = stored(out.groupBy("__key").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("left")), "left")
+    larger = Window.partitionBy("__key").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    room = F.when(F.col("left") > 0, most * F.col("n") - F.col("copies")).otherwise(F.col("copies"))
+    room = F.when((F.col("size") > 0) & (F.col("size") <= F.abs("left")), room).otherwise(0)
+    rest = F.abs("left") - F.coalesce(F.sum(F.col("room") * F.col("size")).over(larger), F.lit(0))
+    moved = F.least(F.col("room"), F.floor(F.greatest(rest, F.lit(0.0)) / F.greatest("size", F.lit(1))))
+    out = (out.join(left, "__key").withColumn("room", room).withColumn("moved", moved)
+           .withColumn("copies", F.col("copies") + F.signum("left").cast("bigint") * F.col("moved")).drop("left", "room", "moved"))
+    out = cut_lineage(out)
     for _ in range(_MENDS):
         left = out.groupBy("__key").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("left"))
         # one document more or less of the size that comes nearest to what is left
