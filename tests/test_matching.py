@@ -210,7 +210,7 @@ def test_learning_round_trip(spark, tmp_path):
     assert rules == same_rules and again.bias == model.bias and dict(again.weights) == dict(model.weights)
     assert model.weights["emails"] > 0
     covered = learn.predicate_coverage(people, labels, rules)
-    assert covered.filter("mask = 0").isEmpty()
+    assert covered.filter("size(covers) = 0").isEmpty()
     assert rule(("same_seven_char_start", "birth_family_name")) not in rules
     found = scoring.matching_pairs(people, rules, model, 0.5)
     truth = labels.filter("label = 1")
@@ -221,6 +221,20 @@ def test_learning_round_trip(spark, tmp_path):
         dedupe.run("getModelsInfo", spark, {2: str(tmp_path / "absent")})
 
 
+def test_hundreds_of_candidate_rules(spark):
+    people = clean_persons(spark, SF_DIR).select("record_id", "entity_id", "birth_family_name", "emails", "birth_date")
+    many = [rule(("token_field", "birth_family_name"), ("same_three_char_start", "birth_date"))] + [
+        rule(("whole_field", "birth_date"), (p, "birth_family_name")) for p in ("first_token", "fingerprint", "two_gram_fingerprint")] + list(BLOCKING)
+    many = many * 12  # 84 rules: more than one integer has bits
+    chosen = learn.learn_predicates(people, person_labels(spark, SF_DIR), many)
+    assert rule(("common_set_element", "emails")) in chosen and len(chosen) <= 3
+
+
+def test_models_must_fit_their_fields():
+    with pytest.raises(ValueError, match="nope"):
+        MatchModel(SIMPLE.fields, {"nope": 1.0}, 0.0)
+
+
 def test_label_history(spark):
     old = spark.createDataFrame([(1, 2, 0, 1), (1, 3, 1, 1)], "left_id long, right_id long, label int, ts int")
     new = spark.createDataFrame([(1, 2, 1, 2)], "left_id long, right_id long, label int, ts int")

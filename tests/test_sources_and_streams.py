@@ -123,8 +123,14 @@ def test_streams_equal_batch(spark, tmp_path):
 
     as_set = lambda df: {(r.query_id, r.record_id, round(r.confidence_score, 9)) for r in df.collect()}
     assert as_set(spark.read.parquet(str(tmp_path / "out"))) == as_set(link_records(cleaned, base, BLOCKING, MODEL))
-    people.unionByName(people).repartition(2).withColumn("ts", F.lit("2024-01-01").cast("timestamp")).write.parquet(str(tmp_path / "dup"))
-    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "dup")).schema).parquet(str(tmp_path / "dup"))
-    linkage.write_parquet_now(linkage.drop_exact_duplicates(stream, ["birth_family_name", "id"], "ts", "1 hour"),
-                              str(tmp_path / "single"), str(tmp_path / "ck2"))
-    assert spark.read.parquet(str(tmp_path / "single")).count() == people.count()
+
+
+def test_late_and_repeated_rows_of_a_stream(spark, tmp_path):
+    """Several files, one to a micro-batch, days out of order, with nulls: as many rows as the batch result has."""
+    rows = spark.range(400).selectExpr("if(id % 7 = 0, null, id % 11) as k", "date_sub(date'2024-06-01', cast(id % 13 as int)) as day", "id")
+    rows.unionByName(rows).repartition(4).write.parquet(str(tmp_path / "dup"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "dup"))
+    linkage.write_distinct(stream, ["k", "day"], str(tmp_path / "single"), str(tmp_path / "ck2"), available_now=True).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "single"))
+    assert got.select("batch_id").distinct().count() > 1 or got.count() == rows.select("k", "day").distinct().count()
+    assert got.count() == rows.select("k", "day").distinct().count() == got.select("k", "day").distinct().count()

@@ -93,3 +93,23 @@ def test_validation(spark):
     assert not one(spark, validate.valid_date_text(F.col("v")), "1990-1-1")
     assert one(spark, validate.safe_file(F.col("v")), "a/b.csv") and not one(spark, validate.safe_file(F.col("v")), "a b")
     assert not one(spark, validate.probability(F.col("v")), 1.5, "v double")
+
+
+def test_scripts_and_long_numbers(spark):
+    """Every script leaves keys; Greek, Cyrillic and full-width letters become Latin ones."""
+    from twinfold.functions import blockkeys as bk
+
+    names = ["Παπαδόπουλος", "Иванов", "Щукин", "ＡＢＣ１２", "田中 一郎", "Ёлка", "Ψυχή"]
+    df = spark.createDataFrame([(n,) for n in names], "x string").withColumn("t", text.normalize_text("x"))
+    got = {r.x: (r.t, r.k) for r in df.withColumn("k", bk.keys("token_field", "t")).collect()}
+    assert [got[n][0] for n in names] == ["papadopoulos", "ivanov", "shchukin", "abc12", "田中 一郎", "elka", "psukhe"]
+    assert all(k for _, k in got.values()) and got["田中 一郎"][1] == ["田中", "一郎"]
+    accents = spark.createDataFrame([("Ά Й ｅ é",)], "x string").select(text.remove_accents("x").alias("y")).first().y
+    assert accents == "Α И e e"
+    digits = spark.createDataFrame([("0001234567890123456789012345 12 " + "9" * 60,)], "t string")
+    key = lambda p: digits.select(bk.keys(p, "t").alias("k")).first().k
+    n = 1234567890123456789012345
+    assert key("first_integer") == [str(n)] and key("common_integer") == [str(n), "12", "9" * 60]
+    assert key("near_integers") == [str(n - 1), str(n), str(n + 1), "11", "12", "13", "9" * 60]
+    assert key("hundred_integer") == [str((n + 50) // 100 * 100), "0", "9" * 60]
+    assert key("hundred_integers_odd") == [str((n + 50) // 100 * 100 + n % 2), "0", "9" * 60]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from twinfold.functions import phonetic
 
 NONE = "cast(array() as array<string>)"
-_MAX_DIGITS = 18  # longer digit runs do not fit a bigint
+_MAX_DIGITS = 36  # longer digit runs are keys as they stand: no decimal holds their neighbours
 
 
 def _present(key: str) -> str:
@@ -30,19 +30,21 @@ def _if(condition: str, result: str) -> str:
     return f"case when {condition} then {result} else {NONE} end"
 
 
-def _each(items: str, body: str) -> str:
-    return f"array_distinct(transform({items}, n -> cast({body} as string)))"
+def words(t: str) -> str:
+    """Runs of letters and digits of any script, in order."""
+    return f"array_remove(split(regexp_replace({t}, '[^\\\\p{{L}}\\\\p{{N}}]+', ' '), ' '), '')"
 
 
-def words(t: str) -> str:
-    """Alphanumeric tokens, in order."""
-    return f"array_remove(split(regexp_replace({t}, '[^a-z0-9]+', ' '), ' '), '')"
+def digit_runs(t: str) -> str:
+    """Digit runs of any length without leading zeros, in order."""
+    return f"transform(regexp_extract_all({t}, '([0-9]+)', 1), d -> regexp_replace(d, '^0+(?=.)', ''))"
 
 
-def integers(t: str) -> str:
-    """Digit runs as bigint, in order."""
-    runs = f"regexp_extract_all({t}, '([0-9]+)', 1)"
-    return f"transform(filter({runs}, d -> length(d) <= {_MAX_DIGITS}), d -> cast(d as bigint))"
+def _near(t: str, *keys: str) -> str:
+    """Keys computed from each digit run ``n``."""
+    n = "cast(d as decimal(38,0))"
+    made = ", ".join(f"cast({k.format(n=n)} as string)" for k in keys)
+    return f"array_distinct(flatten(transform({digit_runs(t)}, d -> if(length(d) <= {_MAX_DIGITS}, array({made}), array(d)))))"
 
 
 def as_set(s: str) -> str:
@@ -81,7 +83,7 @@ def first_two_tokens(t):  # K4
 
 
 def common_integer(t):  # K5
-    return _each(integers(t), "n")
+    return f"array_distinct({digit_runs(t)})"
 
 
 def alpha_numeric(t):  # K6
@@ -89,19 +91,19 @@ def alpha_numeric(t):  # K6
 
 
 def near_integers(t):  # K7
-    return _each(f"flatten(transform({integers(t)}, n -> array(n - 1, n, n + 1)))", "n")
+    return _near(t, "({n} - 1)", "{n}", "({n} + 1)")
 
 
 def hundred_integer(t):  # K8
-    return _each(integers(t), "(n + 50) div 100 * 100")
+    return _near(t, "({n} + 50 - ({n} + 50) % 100)")
 
 
 def hundred_integers_odd(t):  # K9
-    return _each(integers(t), "(n + 50) div 100 * 100 + n % 2")
+    return _near(t, "({n} + 50 - ({n} + 50) % 100 + {n} % 2)")
 
 
 def first_integer(t):  # K10
-    return _each(f"slice({integers(t)}, 1, 1)", "n")
+    return f"slice({digit_runs(t)}, 1, 1)"
 
 
 def ngram_tokens(t, n: int = 2):  # K11

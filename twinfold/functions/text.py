@@ -6,7 +6,7 @@ Everything here builds a Catalyst expression; no row is handed to Python.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -38,7 +38,13 @@ ONE_TO_MANY = {
     "ŋ": "ng", "€": "EUR", "°": "deg", "…": "...", "—": "--", "«": "<<", "»": ">>",
 }
 
-_LATIN_BLOCKS = ((0x00C0, 0x0250), (0x1E00, 0x1F00), (0xFB00, 0xFB07))
+# The usual Latin forms of Greek and Cyrillic letters.
+GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split()))
+CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюя",
+                    "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch ' y ' e iu ia".split()))
+
+# Latin, Greek and Cyrillic letters, and full-width forms
+_BLOCKS = ((0x00C0, 0x0250), (0x0370, 0x0530), (0x1E00, 0x2000), (0xFB00, 0xFB07), (0xFF10, 0xFF5B))
 _COMBINING = "".join(chr(c) for c in range(0x0300, 0x0370))
 _SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
 
@@ -49,18 +55,27 @@ def _decompose(ch: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
 
 
-def _accent_tables() -> tuple[dict[str, str], dict[str, str]]:
-    """Latin letters whose decomposition drops an accent, by length of the result."""
+def _latin(letter: str) -> str:
+    for table in (GREEK, CYRILLIC):
+        if letter.lower() in table:
+            out = table[letter.lower()]
+            return out if letter.islower() else out.capitalize()
+    return ONE_TO_ONE.get(letter, ONE_TO_MANY.get(letter, letter))
+
+
+def _letter_tables(fold: Callable[[str], str]) -> tuple[dict[str, str], dict[str, str]]:
+    """The letters and digits of the blocks that ``fold`` changes, by length of the result."""
     single, multi = {}, {}
-    for lo, hi in _LATIN_BLOCKS:
+    for lo, hi in _BLOCKS:
         for ch in map(chr, range(lo, hi)):
-            base = _decompose(ch)
-            if ch.isalpha() and base != ch:
+            base = fold(ch)
+            if ch.isalnum() and base and base != ch:
                 (single if len(base) == 1 else multi)[ch] = base
     return single, multi
 
 
-_ACCENTS, _LIGATURES = _accent_tables()
+_ACCENTS, _LIGATURES = _letter_tables(_decompose)
+_LETTERS, _LETTER_GROUPS = _letter_tables(lambda ch: "".join(map(_latin, _decompose(ch))))
 
 
 def _fold_steps(single: dict[str, str], multi: dict[str, str]) -> list[Step]:
@@ -73,7 +88,7 @@ _SQUEEZE: list[Step] = [
     ("regexp_replace", r"[\t\n\x0B\f\r\x1c-\x1f][\s\x1c-\x1f]*| [\s\x1c-\x1f]+", " "), ("trim",)]
 _REMOVE_ACCENTS = _fold_steps(_ACCENTS, _LIGATURES)
 _NORMALIZE: list[Step] = [
-    *_fold_steps(_ACCENTS | ONE_TO_ONE, ONE_TO_MANY),
+    *_fold_steps(_LETTERS | ONE_TO_ONE, _LETTER_GROUPS | ONE_TO_MANY),
     *(("regexp_replace", "(?i)" + pattern, "") for pattern in JUNK_PATTERNS),
     ("regexp_replace", r"[,/\n:]+", " "),
     ("replace", "+33", "0"),

@@ -111,7 +111,7 @@ def quantiles(counts: DataFrame, probabilities: Sequence[float], names: Sequence
     """
     ranked = with_running_total(counts, ["Column_name", "number"], "count")
     spans = ranked.groupBy("Column_name").agg(F.min("__before").alias("start"), F.sum("count").alias("n"))
-    placed = ranked.join(F.broadcast(spans), "Column_name")  # one row per column
+    placed = ranked.join(spans, "Column_name")  # one row per column
     placed = placed.withColumn("first", F.col("__before") - F.col("start"))
 
     def at(rank: Column) -> Column:
@@ -134,9 +134,9 @@ def describe(df: DataFrame) -> DataFrame:
     out = base
     if textual:
         seen = value_counts(df.select(*map(_col, textual))).filter(F.col("value").isNotNull())
-        # most frequent value, the smallest one among equals; one row per column is broadcast
+        # most frequent value, the smallest one among equals
         tops = seen.groupBy("Column_name").agg(F.count(F.lit(1)).alias("unique"), F.max("count").alias("most"))
-        best = (seen.join(F.broadcast(tops), "Column_name").filter(F.col("count") == F.col("most"))
+        best = (seen.join(tops, "Column_name").filter(F.col("count") == F.col("most"))
                 .groupBy("Column_name").agg(F.max("unique").alias("unique"), F.min("value").alias("top"),
                                             F.max("count").alias("freq")))
         out = out.join(best, "Column_name", "left")

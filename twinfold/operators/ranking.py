@@ -34,7 +34,7 @@ def part_offsets(placed: DataFrame, weight: Column) -> DataFrame:
 def with_row_index(df: DataFrame, order_by: Sequence[str | Column] | None = None) -> DataFrame:
     """``__index``: 0, 1, 2, … over the whole frame."""
     placed = with_position(df, order_by)
-    return (placed.join(F.broadcast(part_offsets(placed, F.lit(1))), "__part")
+    return (placed.join(part_offsets(placed, F.lit(1)), "__part")
             .withColumn("__index", F.col("__offset") + F.col("__pos")).drop("__part", "__pos", "__offset"))
 
 
@@ -43,5 +43,5 @@ def with_running_total(df: DataFrame, order_by: Sequence[str | Column], weight:
     placed = with_position(df, order_by)
     earlier = Window.partitionBy("__part").orderBy("__pos").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum(weight).over(earlier), F.lit(0))
-    return (placed.join(F.broadcast(part_offsets(placed, F.col(weight))), "__part")
+    return (placed.join(part_offsets(placed, F.col(weight)), "__part")
             .withColumn("__before", F.col("__offset") + inside).drop("__part", "__pos", "__offset"))

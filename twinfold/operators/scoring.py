@@ -27,6 +27,11 @@ class MatchModel:
     weights: Mapping[str, float]
     bias: float
 
+    def __post_init__(self):
+        unknown = set(self.weights) - set(feature_names(self.fields))
+        if unknown:
+            raise ValueError(f"weights of features that the fields do not have: {sorted(unknown)}")
+
     @property
     def columns(self) -> list[str]:
         """The record columns the model reads."""

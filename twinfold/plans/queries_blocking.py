@@ -15,15 +15,16 @@ from twinfold.plans.oracle import over_clean
 from twinfold.plans.persons import BLOCKING, clean_persons, table
 from twinfold.plans.registry import query
 
-# the text and the set the predicates are shown on
-_TEXT = "concat_ws(' ', birth_first_name, birth_family_name, addresses_street, addresses_postal_code, addresses_city)"
-_TEXT_SQL = ("concat_ws(' ', birth_first_name, birth_family_name, addresses_street[1], addresses_postal_code[1], "
-             "addresses_city[1])")
+# the text and the set the predicates are shown on; some texts have long digit runs and words of other scripts
+_ODD = ("CASE WHEN record_id % 30 = 0 THEN '0098765432109876543210987' END", "CASE WHEN record_id % 20 = 0 THEN '田中 ελλη иван' END")
+_TEXT = f"concat_ws(' ', {_ODD[0]}, birth_first_name, birth_family_name, addresses_street, addresses_postal_code, addresses_city, {_ODD[1]})"
+_TEXT_SQL = (f"concat_ws(' ', {_ODD[0]}, birth_first_name, birth_family_name, addresses_street[1], addresses_postal_code[1], "
+             f"addresses_city[1], {_ODD[1]})")
 _VALUES = f"""v AS (
   SELECT record_id, {_TEXT_SQL} AS t, list_concat(emails, telephones) AS s FROM clean
 ), w AS (
-  SELECT *, list_filter(string_split(regexp_replace(t, '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w,
-         list_transform(regexp_extract_all(t, '[0-9]+'), lambda x: CAST(x AS BIGINT)) AS ints,
+  SELECT *, list_filter(string_split(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w,
+         list_transform(regexp_extract_all(t, '[0-9]+'), lambda x: CAST(x AS HUGEINT)) AS ints,
          replace(t, ' ', '') AS packed, list_sort(list_distinct(s)) AS u FROM v
 )"""
 

@@ -344,13 +344,14 @@ def t2_streaming_cleaning(spark: SparkSession, sf: str) -> DataFrame:
 @query("t3_streaming_duplicates", """
     SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events""")
 def t3_streaming_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    schema = table(spark, sf, "events").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-              .selectExpr("user_id", "event_type", "cast(ts as date) as day", "cast(ts as timestamp) as ts"))
-    out = scratch_path(spark, "distinct-events")
-    unique = linkage.drop_exact_duplicates(stream, ["user_id", "event_type", "day"], "ts", "1 day")
-    linkage.write_parquet_now(unique, out, scratch_path(spark, "offsets"))
-    return spark.read.parquet(out).select("user_id", "event_type", "day")
+    # the events arrive in four files, one to a micro-batch, in no order of time
+    arriving, out = scratch_path(spark, "events"), scratch_path(spark, "distinct-events")
+    keys = ["user_id", "event_type", "day"]
+    events = table(spark, sf, "events").selectExpr("user_id", "event_type", "cast(ts as date) as day")
+    events.repartition(4, F.xxhash64(*keys, F.rand(1))).write.parquet(arriving)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    linkage.write_distinct(stream, keys, out, scratch_path(spark, "offsets"), available_now=True).awaitTermination()
+    return spark.read.parquet(out).select(*keys)
 
 
 # ---- learning ------------------------------------------------------------------------------
@@ -431,7 +432,8 @@ CANDIDATE_RULES = (*BLOCKING, rule(("whole_field", "birth_date")), rule(("double
                    rule(("fingerprint", "birth_family_name")), rule(("common_set_element", "telephones")))
 
 
-@query("m2_trained_weights")
+@query("m2_trained_weights", over_clean("""
+    SELECT label, count(*) AS pairs, CASE WHEN label = 1 THEN count(*) ELSE 0 END AS predicted FROM labelled GROUP BY 1""", PERSON_KEYS, PERSON_PAIRS, _LABELS))
 def m2_trained_weights(spark: SparkSession, sf: str) -> DataFrame:
     people = clean_persons(spark, sf)
     columns = ["birth_family_name", "birth_first_name", "birth_date", "emails", "telephones"]
@@ -441,14 +443,35 @@ def m2_trained_weights(spark: SparkSession, sf: str) -> DataFrame:
     return scored.groupBy("label").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("prediction") == 1).alias("predicted"))
 
 
-@query("m6_predicate_coverage", over_clean("""
-    SELECT left_id, right_id,
-      CAST(CASE WHEN l.birth_family_name = r.birth_family_name THEN 1 ELSE 0 END
-      + CASE WHEN list_has_any(l.emails, r.emails) THEN 2 ELSE 0 END
-      + CASE WHEN left(l.birth_family_name, 7) = left(r.birth_family_name, 7) AND l.birth_date = r.birth_date AND l.birth_date <> '' THEN 4 ELSE 0 END AS BIGINT) AS mask
-    FROM labelled JOIN clean l ON l.record_id = left_id JOIN clean r ON r.record_id = right_id WHERE label = 1""", PERSON_KEYS, PERSON_PAIRS, _LABELS))
+_COVERS = """covered AS (SELECT left_id, right_id, list_filter([
+    CASE WHEN l.birth_family_name = r.birth_family_name THEN 0 END, CASE WHEN list_has_any(l.emails, r.emails) THEN 1 END,
+    CASE WHEN left(l.birth_family_name, 7) = left(r.birth_family_name, 7) AND l.birth_date = r.birth_date AND l.birth_date <> '' THEN 2 END],
+    lambda x: x IS NOT NULL) AS covers
+  FROM labelled JOIN clean l ON l.record_id = left_id JOIN clean r ON r.record_id = right_id WHERE label = 1)"""
+
+
+@query("m6_predicate_coverage", over_clean("SELECT left_id, right_id, array_to_string(covers, ',') AS covers FROM covered",
+                                           PERSON_KEYS, PERSON_PAIRS, _LABELS, _COVERS))
 def m6_predicate_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return learn.predicate_coverage(clean_persons(spark, sf), person_labels(spark, sf), BLOCKING)
+    covered = learn.predicate_coverage(clean_persons(spark, sf), person_labels(spark, sf), BLOCKING)
+    return covered.withColumn("covers", F.array_join("covers", ","))
+
+
+# the greedy choice is made by hand: the rule of most matches a comparison, then whether any match is left
+@query("m6_learned_predicates", over_clean("""
+    SELECT rule, predicate, field FROM (VALUES (0, 'whole_field', 'birth_family_name'), (1, 'common_set_element', 'emails'),
+      (2, 'same_seven_char_start', 'birth_family_name'), (2, 'whole_field', 'birth_date')) a(rule, predicate, field)
+    WHERE rule IN (SELECT first FROM gains)
+       OR rule IN (SELECT u FROM (SELECT c.u, count(*) / (1 + any_value(g.cost)) AS gain FROM (
+              SELECT unnest(covers) AS u FROM covered WHERE NOT list_contains(covers, (SELECT first FROM gains))) c
+            JOIN costs g ON g.rule = c.u GROUP BY c.u) ORDER BY gain DESC, u LIMIT 1)""", PERSON_KEYS, PERSON_PAIRS, _LABELS, _COVERS, """
+    costs AS (SELECT rule, sum(n * (n - 1) / 2) AS cost FROM (SELECT rule, k, count(*) AS n FROM block_keys GROUP BY 1, 2) GROUP BY 1),
+    gains AS (SELECT u AS first FROM (SELECT c.u, count(*) / (1 + any_value(g.cost)) AS gain FROM (SELECT unnest(covers) AS u FROM covered) c
+      JOIN costs g ON g.rule = c.u GROUP BY c.u) ORDER BY gain DESC, u LIMIT 1)"""))
+def m6_learned_predicates(spark: SparkSession, sf: str) -> DataFrame:
+    chosen = learn.learn_predicates(clean_persons(spark, sf), person_labels(spark, sf), BLOCKING)
+    atoms = [(BLOCKING.index(r), p, f) for r in chosen for p, f in sorted(r)]
+    return spark.createDataFrame(atoms, "rule int, predicate string, field string")
 
 
 @query("m7_s10_models_info")

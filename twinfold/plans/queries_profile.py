@@ -13,12 +13,13 @@ from twinfold.plans.registry import query
 
 _TEXTS = ("origin", "sex", "birth_family_name", "birth_first_name", "birth_date")
 _LISTS = ("emails", "telephones", "addresses_street", "addresses_city", "addresses_postal_code")
-_ALL = (*_TEXTS, *_LISTS)
-_MISSING = "({0} IS NULL OR {0} IN ('', 'nan', 'NaN', 'None', 'none'))"
+_IDS = ("id", "entity_id")
+_ALL = (*_IDS, *_TEXTS, *_LISTS)
+_MISSING = "({0} IS NULL OR CAST({0} AS VARCHAR) IN ('', 'nan', 'NaN', 'None', 'none'))"
 _LIST_TEXT = ", ".join(f"'[' || array_to_string({c}, ', ') || ']' AS {c}" for c in _LISTS)
 # raw and cleaned persons with every cell as text
-_CELLS = f"""raw AS (SELECT {', '.join(_ALL)} FROM persons),
-cleaned AS (SELECT {', '.join(_TEXTS)}, {_LIST_TEXT} FROM clean)"""
+_CELLS = f"""raw AS (SELECT {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in _ALL)} FROM persons),
+cleaned AS (SELECT CAST(record_id AS VARCHAR) AS id, CAST(entity_id AS VARCHAR) AS entity_id, {', '.join(_TEXTS)}, {_LIST_TEXT} FROM clean)"""
 
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +66,8 @@ def a4_unique_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("a5_dtypes_table", over_persons(" UNION ALL ".join(
-    f"SELECT '{c}' AS Column_name, 'string' AS Data_types_raw, '{'array<string>' if c in _LISTS else 'string'}' AS Data_types_clean, "
+    f"SELECT '{c}' AS Column_name, '{'bigint' if c in _IDS else 'string'}' AS Data_types_raw, "
+    f"'{'array<string>' if c in _LISTS else 'bigint' if c == 'entity_id' else 'string'}' AS Data_types_clean, "
     f"(SELECT count(*) FROM persons) AS records" for c in _ALL)))
 def a5_dtypes_table(spark: SparkSession, sf: str) -> DataFrame:
     raw = _raw(spark, sf)
@@ -107,14 +109,19 @@ def _described(df: DataFrame) -> DataFrame:
 
 @query("a7_generic_report", _rounded(" UNION ALL ".join([
     _describe_number("o_orderkey", "orders"), _describe_number("o_custkey", "orders"), _describe_text("o_orderstatus", "orders"),
-    _describe_number("o_totalprice", "orders"), _describe_text("o_orderpriority", "orders")])))
+    _describe_number("o_totalprice", "orders"), _describe_text("o_orderpriority", "orders"),
+    _describe_text("o_orderdate", "(SELECT CAST(o_orderdate AS VARCHAR) AS o_orderdate FROM orders)")])))
 def a7_generic_report(spark: SparkSession, sf: str) -> DataFrame:
-    return _described(table(spark, sf, "orders").drop("o_orderdate"))
+    return _described(table(spark, sf, "orders"))
 
 
-@query("a8_statistics_tables", over_clean(" UNION ALL ".join(_describe_text(c, "cleaned") for c in _ALL), _CELLS))
+@query("a8_statistics_tables", over_clean(_rounded(" UNION ALL ".join(
+    [_describe_number("entity_id", "(SELECT CAST(entity_id AS BIGINT) AS entity_id FROM cleaned)")]
+    + [_describe_text(c, "cleaned") for c in _ALL if c != "entity_id"])), _CELLS))
 def a8_statistics_tables(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.statistics_tables(_raw(spark, sf), _clean(spark, sf))["generic_report"]
+    tables = profile.statistics_tables(_raw(spark, sf), _clean(spark, sf))
+    return tables["generic_report"].select("Column_name", "count", "unique", "top", "freq", *(
+        F.round(n, 4).alias(n) for n in ("mean", "std", "min", "p25", "p50", "p75", "max")))
 
 
 _BARS = """SELECT value, CAST(sum(n) AS BIGINT) AS count FROM (
@@ -122,9 +129,9 @@ _BARS = """SELECT value, CAST(sum(n) AS BIGINT) AS count FROM (
       SELECT {c} AS value, count(*) AS n FROM {f} WHERE {c} IS NOT NULL GROUP BY 1)) GROUP BY 1"""
 
 
-@query("a10_value_count_bars", _BARS.format(t=300, c="p_size", f="(SELECT CAST(p_size AS VARCHAR) AS p_size FROM part)"))
+@query("a10_value_count_bars", _BARS.format(t=40, c="p_size", f="(SELECT CAST(p_size AS VARCHAR) AS p_size FROM part)"))
 def a10_value_count_bars(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.value_count_bars(table(spark, sf, "part"), "p_size", 300)
+    return profile.value_count_bars(table(spark, sf, "part"), "p_size", 40)
 
 
 @query("a10_first_names", over_clean(_BARS.format(t=10, c="birth_first_name", f="clean")))

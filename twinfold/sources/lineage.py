@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder: on a cluster the
-    folder must outlive any single machine.
+    Only a local session, where driver and executors are one process, may do
+    without the setting: on a cluster the folder must outlive any single machine.
     """
     context = spark.sparkContext
     known = context.getCheckpointDir()
@@ -22,7 +21,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not folder:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="twinfold-checkpoint-")
+        folder = f"/tmp/checkpoints/twinfold-{uuid.uuid4().hex}"
     context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 

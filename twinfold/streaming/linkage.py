@@ -39,9 +39,23 @@ def clean_stream(arriving: DataFrame, rules: Mapping[str, Column], config: Match
     return preprocess(with_errors(arriving, rules), config)
 
 
-def drop_exact_duplicates(arriving: DataFrame, keys: Sequence[str], time_column: str, delay: str) -> DataFrame:
-    """One row per key among rows at most ``delay`` apart; older keys leave the state."""
-    return arriving.withWatermark(time_column, delay).dropDuplicatesWithinWatermark(list(keys))
+def write_distinct(arriving: DataFrame, keys: Sequence[str], out_path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """The first row of each key, however late it comes.
+
+    A micro-batch is reduced to one row per key and compared with the keys that
+    earlier batches wrote, so nothing depends on a watermark.  A batch that is
+    run again replaces its own folder.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, new = batch.sparkSession, batch.dropDuplicates(list(keys))
+        if batch_id:
+            known = spark.read.parquet(out_path)
+            same = [new[k].eqNullSafe(known[k]) for k in keys]
+            new = new.join(known.filter(F.col("batch_id") < batch_id).select(*keys), same, "left_anti")
+        new.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+
+    writer = arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def write_parquet_now(stream: DataFrame, path: str, checkpoint: str) -> None:
