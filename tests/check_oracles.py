@@ -6,6 +6,7 @@ import decimal
 import os
 import sys
 import time
+import uuid
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
@@ -66,7 +67,8 @@ def session():
     return (SparkSession.builder.master("local[8]").appName("twinfold-check")
             .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-            .config("spark.sql.session.timeZone", "UTC").getOrCreate())
+            .config("spark.sql.session.timeZone", "UTC")
+            .config("spark.checkpoint.dir", f"/tmp/checkpoints/check-{uuid.uuid4().hex}").getOrCreate())
 
 
 def main() -> int:

@@ -83,7 +83,6 @@ _KEYS = {
     "k23_sorted_acronym": ("sorted_acronym", "t",
                            "[array_to_string(list_sort(list_transform(w, lambda x: left(x, 1))), '')]"),
     "k24_metaphone_token": ("metaphone_token", "t", f"list_distinct({_METAPHONE})"),
-    "k25_double_metaphone": ("double_metaphone", "t", None),
     "k26_whole_set": ("whole_set", "s", "[array_to_string(u, ' ')]"),
     "k27_common_set_element": ("common_set_element", "s", "u"),
     "k28_common_two_elements": ("common_two_elements", "s",
@@ -99,15 +98,13 @@ _KEYS = {
 }
 
 
-def _register_keys(name: str, predicate: str, column: str, sql: str | None) -> None:
+def _register_keys(name: str, predicate: str, column: str, sql: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         df = values(spark, sf)
-        if predicate == "double_metaphone":
-            df = bk.with_phonetic(df, [column])
         made = F.expr(bk.ngram_tokens(column, 4)) if predicate == "ngram_tokens" else bk.keys(predicate, column)
         return df.select("record_id", F.explode(made).alias("block_key"))
 
-    oracle = None if sql is None else over_clean(
+    oracle = over_clean(
         f"SELECT record_id, CAST(unnest({sql}) AS VARCHAR) AS block_key FROM w", _VALUES)
     query(name, oracle)(run)
 
@@ -116,6 +113,22 @@ for _name, (_predicate, _column, _sql) in _KEYS.items():
     _register_keys(_name, _predicate, _column, _sql)
 
 
+# Double Metaphone codes of the words in part names, by the published rules.
+_PART_CODES = {
+    "anvil": ("ANFL",), "blue": ("PL",), "bolt": ("PLT",), "cold": ("KLT",), "gear": ("JR", "KR"), "gizmo": ("JSM", "KSM"), "hot": ("HT",),
+    "large": ("LRJ", "LRK"), "new": ("N", "NF"), "old": ("ALT",), "plate": ("PLT",), "red": ("RT",), "ring": ("RNK",), "rod": ("RT",),
+    "small": ("SML", "XML"), "widget": ("AJT", "FJT"),
+}
+
+
+@query("k25_double_metaphone", f"""
+    SELECT DISTINCT p_partkey, c.code AS block_key FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) p
+    JOIN (VALUES {', '.join(f"('{w}', '{c}')" for w, codes in _PART_CODES.items() for c in codes)}) c(word, code) ON c.word = p.word""")
+def k25_double_metaphone(spark: SparkSession, sf: str) -> DataFrame:
+    parts = bk.with_phonetic(table(spark, sf, "part").select("p_partkey", "p_name"), ["p_name"])
+    return parts.select("p_partkey", F.explode(bk.keys("double_metaphone", "p_name")).alias("block_key"))
+
+
 @query("k33_lat_long_grid", """
     WITH g AS (SELECT c_custkey, c_nationkey * 1.5 - 18 AS lat, c_custkey % 360 - 180.25 AS lon FROM customer)
     SELECT c_custkey, concat(CAST(CAST(round(CAST(lat AS DECIMAL(12,6)), 1) AS DECIMAL(12,1)) AS VARCHAR), '_',
