@@ -42,7 +42,7 @@ def test_repeated_runs(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumnsRenamed({"doc_id": "n_lines"})
     got = {r["n_lines"]: set(r["lines"]) for r in lines.repeated_lines(frame, "n_lines").collect()}
     assert got == expected_lines(docs) and got
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    frame = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, lines int, n_removed int")
     for r in lines.without_repeated_lines(frame).collect():
         text = dict(docs)[r.doc_id]
         kept = [x for i, x in enumerate((text or "").split("\n")) if i not in got.get(r.doc_id, ())]
@@ -62,7 +62,7 @@ def test_planted_passages_go_and_the_first_stays(spark):
 
 def test_no_documents(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lines int")
-    assert lines.without_repeated_lines(empty.drop("lines")).collect() == []
+    assert lines.without_repeated_lines(empty).collect() == []
 
 
 MESSAGES = [
@@ -82,7 +82,7 @@ MESSAGES = [
 
 
 def test_replies(spark):
-    frame = spark.createDataFrame(MESSAGES, "conv_id long, turn long, role string, text string")
+    frame = spark.createDataFrame([(*m, "x", "y") for m in MESSAGES], "conv_id long, turn long, role string, text string, thread string, holder string")
     rows = {(r.conv_id, r.turn): r for r in quotes.link_quotes(frame).collect()}
     assert len(rows) == len(MESSAGES)
     reply = {k: r.reply_to for k, r in rows.items() if r.reply_to is not None}

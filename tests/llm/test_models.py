@@ -47,7 +47,7 @@ def test_a_full_cache_changes_nothing(tokenizer, monkeypatch):
 def test_encode_and_decode_tables(spark, tokenizer):
     spec, library = tokenizer
     rows = [(1, "Hello world", 5), (2, None, 6), (3, "", 7), (3, "", 7)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, vocab int")
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, vocab int, ids string")
     encoded = bpe.encode(frame, spec)
     assert encoded.columns == ["doc_id", "vocab", "ids", "n_tokens"]
     got = sorted((r.doc_id, r.n_tokens, r.text) for r in bpe.decode(encoded, spec).collect())
@@ -71,7 +71,7 @@ def test_toxic_texts_and_sentences(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string, score string, lang string").repartition(4)
     marks = spark.createDataFrame([*labels, (5, None), (None, 1), (123456, 1)], "doc_id long, toxic int")
     model = toxicity.fit(frame, marks)
-    scored = {r.doc_id: r["p"] for r in toxicity.with_score(frame, model, score_column="p").collect()}
+    scored = {r.doc_id: r.score for r in toxicity.with_score(frame, model).collect()}
     held = {r.doc_id for r in frame.filter(toxicity.held_out()).collect()}
     right = [(scored[i] >= 0.5) == bool(t) for i, t in labels if i in held]
     assert len(right) > 100 and np.mean(right) > 0.97
@@ -153,7 +153,7 @@ def test_misspelt_notices():
 def test_licenses(spark):
     rows = [(1, "Released under the MIT License. under the mit license"), (2, "released undr the mit licence"), (3, "under the bsd license"),
             (4, "Apache License, Version 2.0; CC BY-NC"), (5, None), (6, ""), (7, "word " * 50_000 + "under\nthe MIT  license"), (8, "éunder the mit license")]
-    frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, label int")
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, matches int")
     got = {r.doc_id: r for r in licenses.find_notices(frame).collect()}
     phrases = {i: [(m.label, m.first_word) for m in r.matches if m.phrase] for i, r in got.items()}
     assert phrases == {1: [("mit", 1), ("mit", 5)], 2: [], 3: [], 4: [("apache-2", 0), ("cc-by-nc", 5)], 5: [], 6: [], 7: [("mit", 50_000)], 8: []}

@@ -12,7 +12,8 @@ and remembered in a bounded cache.  The tokenizer file is read on the driver
 and broadcast: it is a model of a few megabytes and does not grow with the data.
 
 Nulls and empty texts have no tokens.  Repeated rows are encoded each for
-itself.  An empty table gives an empty result.
+itself.  An empty table gives an empty result.  Columns named like the
+results are replaced, others carried along.
 """
 
 from __future__ import annotations
@@ -177,7 +178,7 @@ def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
 
 def encode(docs: DataFrame, tokenizer: str, text_column: str = "text") -> DataFrame:
     """``docs`` without its text, with ``ids`` (binary: little-endian unsigned 32-bit numbers) and ``n_tokens long``."""
-    rest = [c for c in docs.columns if c != text_column]
+    rest = [c for c in docs.columns if c not in (text_column, "ids", "n_tokens")]
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,6 +194,7 @@ def encode(docs: DataFrame, tokenizer: str, text_column: str = "text") -> DataFr
 
 def decode(encoded: DataFrame, tokenizer: str, ids_column: str = "ids", text_column: str = "text") -> DataFrame:
     """``encoded`` with the decoded text; bytes that are no UTF-8 become the replacement character."""
+    encoded = encoded.drop(text_column)
     rest = list(encoded.columns)
     shared = encoded.sparkSession.sparkContext.broadcast(tokenizer)
 

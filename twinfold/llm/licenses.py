@@ -110,7 +110,7 @@ class Searcher:
 
 def find_notices(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: Sequence[Notice] = NOTICES, text_column: str = "text") -> DataFrame:
     """``docs`` without its text, with ``n_words long`` and ``matches array<struct>`` (word spans, edits, similarity)."""
-    rest = [c for c in docs.columns if c != text_column]
+    rest = [c for c in docs.columns if c not in (text_column, "n_words", "matches")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(phrases, notices)

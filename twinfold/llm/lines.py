@@ -88,12 +88,12 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def without_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW,
                            reach: int = REACH) -> DataFrame:
     """``docs`` with the remaining text, and ``n_lines``, ``n_removed`` (long)."""
-    gone = stored(repeated_lines(docs, id_column, text_column, window, reach), "repeated-lines").withColumnRenamed(id_column, "__id")
+    gone = stored(repeated_lines(docs, id_column, text_column, window, reach), "repeated-lines").toDF("__id", "__lines")
     joined = (docs.join(gone, docs[id_column].eqNullSafe(F.col("__id")), "left")
               .withColumn("__all", F.split(F.coalesce(F.col(text_column), F.lit("")), "\n")))
-    keep = F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), F.coalesce("lines", F.expr("array()").cast("array<int>")))
+    keep = F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), F.coalesce("__lines", F.expr("array()").cast("array<int>")))
     rest = F.array_join(F.transform(keep, lambda i: F.get("__all", i)), "\n")
     return (joined.withColumn("n_lines", F.size("__all").cast("bigint"))
-            .withColumn("n_removed", F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("bigint"))
-            .withColumn(text_column, F.when(F.col("lines").isNull(), F.col(text_column)).otherwise(rest))
-            .drop("__id", "__all", "lines"))
+            .withColumn("n_removed", F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines")).cast("bigint"))
+            .withColumn(text_column, F.when(F.col("__lines").isNull(), F.col(text_column)).otherwise(rest))
+            .drop("__id", "__all", "__lines"))

@@ -15,7 +15,8 @@ conversation makes no pairs.
 Nulls: a null text is empty; a null conversation is one of its own; a message
 without turn comes first, neither replies nor is replied to.  Repeated rows of
 one turn are the same message.  Messages without linked quotations begin a
-thread.  An empty table gives an empty result; extra columns are carried along.
+thread.  An empty table gives an empty result; columns named like the
+results are replaced, others carried along.
 """
 
 from __future__ import annotations
@@ -62,6 +63,7 @@ def link_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str =
     """``messages`` with ``body`` (the text without quotations) in place of the text, ``n_quotes``, ``n_linked``, ``reply_to``,
     ``thread`` and ``position`` (from 0, in reply order)."""
     key = F.coalesce(F.concat(F.lit("="), F.col(conversation).cast("string")), F.lit("null"))
+    messages = messages.drop("body", "n_quotes", "n_linked", "reply_to", "thread", "position")
     read = stored(parsed(messages.withColumn("__conv", key), text_column), "messages")
     own = F.flatten(F.filter("__runs", lambda r: r[0]["depth"] == 0))
     body = F.regexp_replace(_joined(own), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")

@@ -209,7 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_feat
 
 
 def with_score(docs: DataFrame, model: ToxicityModel, text_column: str = "text", score_column: str = "score") -> DataFrame:
-    """``docs`` with a score between 0 and 1."""
+    """``docs`` with a score between 0 and 1, in place of a column of that name."""
+    docs = docs.drop(score_column)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
