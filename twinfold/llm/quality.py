@@ -31,8 +31,8 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), _SPACES), "")
 
 
-def _repeat_words() -> Column:
-    """Words covered by 3-word windows that occur twice or more; needs the columns ``__w`` and ``__g``."""
+def _repeat_words() -> tuple[Column, Column]:
+    """The sorted 3-word windows (from ``__g``), and how many words repeated ones cover (from those as ``__s``)."""
     ranked = F.array_sort(F.transform("__g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def repeated(x: Column, j: Column) -> Column:
