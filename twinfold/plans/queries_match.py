@@ -474,9 +474,14 @@ def m6_learned_predicates(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(atoms, "rule int, predicate string, field string")
 
 
-@query("m7_s10_models_info")
+@query("m7_s10_models_info", over_clean("""
+    SELECT 1 AS model_id, (SELECT count(*) FROM labelled) AS n_labels, (SELECT count(*) FROM labelled WHERE label = 1) AS n_match,
+      feature, true AS has_weight
+    FROM (VALUES ('(bias)'), ('birth_family_name'), ('birth_first_name'), ('birth_date'), ('birth_date__missing'), ('emails'),
+          ('telephones'), ('telephones__missing')) f(feature)""", PERSON_KEYS, PERSON_PAIRS, _LABELS))
 def m7_s10_models_info(spark: SparkSession, sf: str) -> DataFrame:
     people = clean_persons(spark, sf).select("record_id", "birth_first_name", *MODEL.columns[:1], "birth_date", "emails", "telephones")
     path = scratch_path(spark, "model")
     dedupe.run("trainModel", path, people, person_labels(spark, sf), TRAINING_FIELDS, CANDIDATE_RULES)
-    return dedupe.run("getModelsInfo", spark, {1: path})
+    info = dedupe.run("getModelsInfo", spark, {1: path})
+    return info.select("model_id", "n_labels", "n_match", "feature", F.col("weight").isNotNull().alias("has_weight"))
