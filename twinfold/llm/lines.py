@@ -24,7 +24,7 @@ from twinfold.sources.lineage import stored
 
 WINDOW = 2
 SLOT_WORDS = 25
-REACH = 8
+REACH = 4
 
 
 def slot_hash(line: Column, k: Column) -> Column:
@@ -52,10 +52,10 @@ def _chosen(window: int) -> Column:
     return F.when(F.size("__slots") >= window, F.array_distinct(F.transform(least, lambda p: -p)))
 
 
-def _around(reach: int) -> Column:
-    """The slots from ``reach`` before to ``reach`` after the slot ``p``, null outside the text."""
+def _around(reach: int, field: str) -> Column:
+    """``field`` of the slots from ``reach`` before to ``reach`` after the slot ``p``, null outside the text."""
     return F.transform(F.sequence(F.lit(-reach), F.lit(reach)),
-                       lambda d: F.when(F.col("p") + d >= 0, F.get("__slots", F.col("p") + d)))
+                       lambda d: F.when(F.col("p") + d >= 0, F.get("__slots", F.col("p") + d)[field]))
 
 
 def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, reach: int = REACH) -> DataFrame:
@@ -63,16 +63,18 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     lines = F.split(F.coalesce(F.col(text_column), F.lit("")), "\n")
     slotted = docs.select(F.col(id_column).alias("id"), _slots(lines).alias("__slots"))
     posts = (slotted.withColumn("p", F.explode(_chosen(window)))
-             .select("id", "p", F.get("__slots", F.col("p"))["h"].alias("h"), _around(reach).alias("around")))
+             .select("id", "p", F.get("__slots", F.col("p"))["h"].alias("h"), _around(reach, "h").alias("around"),
+                     _around(reach, "l").alias("numbers")))
     posts = stored(posts, "fingerprints")
     place = F.struct("id", "p")
     first = (posts.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"))
              .filter(F.col("first") != F.col("last")).select("h", "first"))
     first = stored(first, "first-holders")
-    holders = (posts.join(first, "h").filter(F.struct("id", "p") == F.col("first"))
-               .select("h", "first", F.col("around").alias("there")).dropDuplicates(["h"]))
+    heads = first.select("h", F.col("first.id").alias("id"), F.col("first.p").alias("p"), "first")
+    holders = (posts.join(heads, (posts["h"] == heads["h"]) & posts["id"].eqNullSafe(heads["id"]) & (posts["p"] == heads["p"]))
+               .select(posts["h"], "first", F.col("around").alias("there")).dropDuplicates(["h"]))
     matches = posts.join(stored(holders, "holders"), "h").filter(F.struct("id", "p") > F.col("first"))
-    same = F.zip_with("around", "there", lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))
+    same = F.zip_with("around", "there", lambda a, b: F.coalesce(a == b, F.lit(False)))
     left, right = F.reverse(F.slice("same", 1, reach)), F.slice("same", reach + 2, reach)
 
     def run(side: Column) -> Column:
@@ -80,7 +82,7 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
         return F.when(gap > 0, gap - 1).otherwise(F.size(side)).cast("int")
 
     matches = matches.withColumn("same", same).withColumn("a", run(left)).withColumn("b", run(right)).filter(F.col("a") + F.col("b") + 1 >= window)
-    gone = F.transform(F.slice("around", reach + 1 - F.col("a"), F.col("a") + F.col("b") + 1), lambda x: x["l"])
+    gone = F.slice("numbers", reach + 1 - F.col("a"), F.col("a") + F.col("b") + 1)
     return (matches.select("id", F.explode(F.array_distinct(gone)).alias("line")).distinct()
             .groupBy("id").agg(F.collect_list("line").alias("lines")).withColumnRenamed("id", id_column))
 
