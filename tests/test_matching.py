@@ -190,6 +190,21 @@ def test_clusters_of_persons(spark):
     assert got.filter("confidence_score < 0 or confidence_score > 1").isEmpty()
 
 
+def test_pairs_below_the_threshold_keep_their_distance(spark):
+    """a-b and b-c match, a-c does not (hard part 8): with its true score the chain is one cluster, with distance 1 it is not."""
+    rows = [(1, ["p"], "aaaaaaaaaa"), (2, ["p", "q"], "aaaaaaaabb"), (3, ["q"], "aaaaaabbbb")]
+    model = MatchModel((FieldSpec("e", "Overlap", False), FieldSpec("b", "Edit", False)), {"e": 3.0, "b": 2.0}, -1.6)
+    df = spark.createDataFrame(rows, "record_id long, e array<string>, b string")
+    rules = [rule(("common_set_element", "e"))]
+    logistic = lambda x: 1 / (1 + math.exp(-x))
+    near, far = 1 - logistic(3 + 1.6 - 1.6), 1 - logistic(2 * 0.6 - 1.6)
+    got = {r.record_id: r for r in dedupe.get_clusters(df, model, rules, score_all=True).collect()}
+    assert far > 0.5 and {r.cluster_id for r in got.values()} == {1}
+    assert got[1].confidence_score == pytest.approx(1 - math.sqrt((near**2 + far**2) / 2))
+    assert got[2].confidence_score == pytest.approx(1 - near)
+    assert len({r.cluster_id for r in dedupe.get_clusters(df, model, rules).collect()}) == 2
+
+
 def test_linking_one_record(spark):
     people = clean_persons(spark, SF_DIR)
     one = people.filter("record_id = 121").withColumn("record_id", F.lit(-1).cast("long"))
