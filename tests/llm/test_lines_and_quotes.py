@@ -49,6 +49,33 @@ def test_repeated_runs(spark):
         assert r.text == (text if r.doc_id not in got else "\n".join(kept)) and r.n_removed == len(got.get(r.doc_id, ()))
 
 
+def expected_runs(docs, w=lines.WINDOW):
+    """Every run of ``w`` slots that an earlier place holds, by looking at all windows in order."""
+    seen, gone = set(), {}
+    for i, text in sorted(docs):
+        s = slots_of(text)
+        for a in range(len(s) - w + 1):
+            key = tuple(h for h, _ in s[a:a + w])
+            if key in seen:
+                gone.setdefault(i, set()).update(number for _, number in s[a:a + w])
+            seen.add(key)
+    return gone
+
+
+def test_runs_of_frequent_lines_go(spark):
+    rng = random.Random(3)
+    hot = min(("hot %d" % k for k in range(50)), key=lambda x: slots_of(x)[0][0])  # the fingerprint wherever it stands
+    docs = [(0, f"x\n{hot}\ny"), (1, f"M\n{hot}\nN"), (2, f"M\n{hot}\nN")]
+    docs += [(i, "\n".join(rng.choice([hot, "a", "b", "", "c " * 60, "own %d" % rng.randrange(10**6)]) for _ in range(rng.randint(0, 12)))) for i in range(3, 80)]
+    docs += [(500, None), (501, "\n\n"), (502, "x\n" * 100)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: set(r.lines) for r in lines.repeated_runs(frame).collect()}
+    assert got[2] == {0, 1, 2} and 1 not in got and got == expected_runs(docs)
+    assert expected_lines(docs[:3]) == {}  # what the first holder of the single slot finds there
+    kept = {r.doc_id: (r.text, r.n_removed) for r in lines.without_repeated_lines(frame, runs=True).filter("doc_id < 3").collect()}
+    assert kept == {0: (docs[0][1], 0), 1: (docs[1][1], 0), 2: ("", 3)}
+
+
 def test_planted_passages_go_and_the_first_stays(spark):
     rng = random.Random(4)
     words = lambda n: " ".join("%06x" % rng.randrange(16**6) for _ in range(n))

@@ -2,13 +2,18 @@
 
 A line is a row of slots of ``SLOT_WORDS`` words, so that a long line is a run by
 itself; a slot is the hash of its whole line and its number in it.  Of every
-``WINDOW`` slots in a row the one with the smallest hash (the last of equals) is
-a fingerprint: a repeated run of that many slots has fingerprints in common.
-Fingerprints are posted with their position and joined with their first holder,
-the smallest (id, slot).  Each such match is extended both ways as far as the
-slots agree, up to ``REACH`` slots from the fingerprint (the next fingerprint is
-never farther than ``WINDOW``).  A match of ``WINDOW`` slots or more deletes its
-lines from the later text.
+``WINDOW`` slots in a row the one with the smallest hash is a fingerprint.
+
+``repeated_runs`` posts a fingerprint once for each window that chose it, keyed
+by the slots of that window, and joins each key with its first holder, the
+smallest (id, slot).  The holder of a key has the whole window, so every run of
+``WINDOW`` slots that an earlier place holds deletes its lines, however often
+its lines stand elsewhere, and no pairs of places are made.
+
+``repeated_lines`` keys the fingerprint by its slot alone (the last of equals)
+and extends each match with the first holder both ways as far as the slots agree,
+up to ``REACH`` slots.  Where that holder stands in another context, a run that a
+later holder shares is not found.
 
 Lines without a word have no slot and stay.  Nulls: a null text is empty; a null
 id comes first.  Rows repeated under one id are one text and lose the same
@@ -87,10 +92,28 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
             .groupBy("id").agg(F.collect_list("line").alias("lines")).withColumnRenamed("id", id_column))
 
 
+def repeated_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW) -> DataFrame:
+    """``<id>, lines array<int>``: the numbers (from 0) of the lines of every run of ``window`` slots that an earlier place holds."""
+    lines = F.split(F.coalesce(F.col(text_column), F.lit("")), "\n")
+    slotted = docs.select(F.col(id_column).alias("id"), _slots(lines).alias("__slots"))
+    starts = F.when(F.size("__slots") >= window, F.sequence(F.lit(0), F.size("__slots") - window))
+    part = F.slice("__slots", F.col("p") + 1, window)
+    posts = (slotted.withColumn("p", F.explode(starts))
+             .select("id", "p", F.array_min(part["h"]).alias("h"), F.xxhash64(part["h"]).alias("run"), part["l"].alias("numbers")))
+    posts = stored(posts, "fingerprints")
+    place = F.struct("id", "p")
+    first = (posts.groupBy("h", "run").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+             .filter(F.col("first") != F.col("last")).select("h", "run", "first"))
+    matches = posts.join(stored(first, "first-holders"), ["h", "run"]).filter(F.struct("id", "p") > F.col("first"))
+    return (matches.select("id", F.explode("numbers").alias("line")).groupBy("id").agg(F.collect_set("line").alias("lines"))
+            .withColumnRenamed("id", id_column))
+
+
 def without_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW,
-                           reach: int = REACH) -> DataFrame:
-    """``docs`` with the remaining text, and ``n_lines``, ``n_removed`` (long)."""
-    gone = stored(repeated_lines(docs, id_column, text_column, window, reach), "repeated-lines").toDF("__id", "__lines")
+                           reach: int = REACH, runs: bool = False) -> DataFrame:
+    """``docs`` with the remaining text, and ``n_lines``, ``n_removed`` (long); ``runs`` chooses ``repeated_runs``."""
+    found = repeated_runs(docs, id_column, text_column, window) if runs else repeated_lines(docs, id_column, text_column, window, reach)
+    gone = stored(found, "repeated-lines").toDF("__id", "__lines")
     joined = (docs.join(gone, docs[id_column].eqNullSafe(F.col("__id")), "left")
               .withColumn("__all", F.split(F.coalesce(F.col(text_column), F.lit("")), "\n")))
     keep = F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), F.coalesce("__lines", F.expr("array()").cast("array<int>")))

@@ -72,7 +72,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op7_lines")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.without_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.without_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), runs=True)
 
 
 @_query("op8_exact_dedup", """
