@@ -121,6 +121,32 @@ def test_replies(spark):
     assert (rows[1, 3].n_quotes, rows[1, 3].n_linked) == (2, 2) and (rows[1, 4].n_quotes, rows[1, 4].n_linked) == (2, 1)
 
 
+def test_the_holder_of_most_lines_is_quoted(spark):
+    rng = random.Random(5)
+    talks = {1: ["Thanks.", "Use open.\nThanks.\nBye.", "> Use open.\n> Thanks.\nSo?"]}
+    for c in (2, 3):  # few words: most lines have many holders
+        talks[c] = []
+        for t in range(60):
+            own = [rng.choice(["yes", "no", "ok", "well", "bye", "own %d" % t]) for _ in range(rng.randint(1, 4))]
+            cited = rng.choice(talks[c]).split("\n") if t else []
+            cited = rng.sample(cited, rng.randint(0, len(cited))) if c == 3 else cited[:rng.randint(0, 3)]
+            talks[c].append("\n".join(["> " + x for x in cited if not x.startswith(">")] + own))
+    want = {}
+    for c, texts in talks.items():
+        own = [[x for x in t.split("\n") if not x.startswith(">")] for t in texts]
+        holds = [{*o, " ".join(o)} for o in own]
+        for t, text in enumerate(texts):
+            cited = [x[2:] for x in text.split("\n") if x.startswith("> ")]
+            units = {*cited, " ".join(cited)} - {""}
+            ranks = [(" ".join(cited) in holds[h], len(units & holds[h]), -h) for h in range(t)]
+            best = max(ranks, default=(0, 0, 0))
+            want[c, t] = -best[2] if best[1] else None
+    frame = spark.createDataFrame([(c, t, "user", x) for c, texts in talks.items() for t, x in enumerate(texts)],
+                                  "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r.reply_to for r in quotes.link_quotes(frame).collect()}
+    assert got[1, 2] == 1 and got == want
+
+
 def test_a_common_line_makes_no_pairs(spark):
     frame = spark.createDataFrame([(1, t, "user", "yes" if t % 2 else "> yes\nmore %d" % t) for t in range(300)],
                                   "conv_id long, turn long, role string, text string")

@@ -9,8 +9,10 @@ message that holds most lines of its depth-1 quotations (a whole passage counts
 before any lines; ties go to the earlier message).  Threads are resolved by
 pointer doubling, and a conversation is put in order by thread and turn.
 
-Each quoted line meets one holder at most, so a common line in a long
-conversation makes no pairs.
+Holders are counted exactly.  A quoted line meets all its holders only where it
+has ``FREQUENT`` at most.  More frequent lines are compared as sets: messages that
+hold the same ones are folded to the first of them, so a common line in a
+long conversation makes no pairs of messages.  What grows is the number of distinct sets.
 
 Nulls: a null text is empty; a null conversation is one of its own; a message
 without turn comes first, neither replies nor is replied to.  Repeated rows of
@@ -28,6 +30,7 @@ from twinfold.operators.ranking import with_row_index
 from twinfold.sources.lineage import stored
 
 _MARKS = r"^(?:[ \t]*>)+"
+FREQUENT = 16  # holders of a line in a conversation above which it is compared by sets
 
 
 def _depth(line: Column) -> Column:
@@ -70,19 +73,18 @@ def link_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str =
     quotes = F.filter("__runs", lambda r: r[0]["depth"] > 0)
 
     units = F.array_union(F.array(_normal(_joined(own))), F.transform(own, lambda x: _normal(x["text"])))
-    held = (read.filter(F.col(turn).isNotNull()).select("__conv", turn, F.explode(units).alias("unit")).filter("unit <> ''")
-            .groupBy("__conv", F.xxhash64("unit").alias("unit"), F.length("unit").alias("size")).agg(F.min(turn).alias("holder")))
+    held = (read.filter(F.col(turn).isNotNull()).select("__conv", F.col(turn).alias("holder"), F.explode(units).alias("unit")).filter("unit <> ''")
+            .select("__conv", F.xxhash64("unit").alias("unit"), F.length("unit").alias("size"), "holder").distinct())
+    held = stored(held, "held")
+    first = held.groupBy("__conv", "unit", "size").agg(F.min("holder").alias("holder"))
     each = read.filter(F.col(turn).isNotNull()).select("__conv", turn, F.posexplode(quotes).alias("passage", "lines"))
     each = each.select("__conv", turn, "passage", F.element_at("lines", 1)["depth"].alias("depth"),
                        F.array_union(F.array(_normal(_joined(F.col("lines")))), F.transform("lines", lambda x: _normal(x["text"]))).alias("units"))
     asked = (each.select("__conv", turn, "passage", "depth", F.posexplode("units").alias("at", "unit")).filter("unit <> ''")
              .select("__conv", turn, "passage", "depth", (F.col("at") == 0).cast("int").alias("whole"), F.xxhash64("unit").alias("unit"), F.length("unit").alias("size")))
-    met = (asked.join(stored(held, "held"), ["__conv", "unit", "size"]).filter(F.col("holder") < F.col(turn))
-           .groupBy("__conv", turn, "passage", "depth", "holder").agg(F.max("whole").alias("whole"), F.count(F.lit(1)).alias("lines")))
-    met = stored(met, "quotations")
-    best = (met.filter("depth = 1").groupBy("__conv", turn, "holder").agg(F.max("whole").alias("whole"), F.sum("lines").alias("lines"))
-            .groupBy("__conv", turn).agg(F.max(F.struct("whole", "lines", (-F.col("holder")).alias("back"))).alias("best"))
-            .select("__conv", turn, (-F.col("best.back")).alias("reply_to")))
+    asked = stored(asked, "quotations")
+    met = asked.join(stored(first, "first-holders"), ["__conv", "unit", "size"]).filter(F.col("holder") < F.col(turn))
+    best = _most_lines(asked.filter("depth = 1").withColumnRenamed(turn, "turn"), held).withColumnRenamed("turn", turn)
     linked = met.groupBy("__conv", turn).agg(F.countDistinct("passage").alias("n_linked"))
     replies = stored(linked.join(best, ["__conv", turn], "left"), "replies")
     roots = _roots(replies.filter("reply_to is not null").select("__conv", F.col(turn).alias("turn"), F.col("reply_to").alias("thread")))
@@ -96,6 +98,36 @@ def link_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str =
     return out.join(begin, "__conv").withColumn("position", F.col("__index") - F.col("__begin")).drop("__conv", "__index", "__begin")
 
 
+def _most_lines(asked: DataFrame, held: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """``__conv, turn, reply_to``: the earlier holder of a whole passage and then of most quoted lines, the first of equals."""
+    key = ["__conv", "unit", "size"]
+    asked = stored(asked.groupBy("turn", *key).agg(F.max("whole").alias("whole"), F.count(F.lit(1)).alias("n")), "asked")
+    # only what somebody quotes counts
+    sizes = held.join(asked.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("holders"))
+    often = stored(sizes.withColumn("often", F.col("holders") > frequent).drop("holders"), "frequent")
+    held, asked = stored(held.join(often, key), "holders"), stored(asked.join(often, key), "asked-often")
+    asks = stored(asked.filter("often").groupBy("__conv", "turn").agg(
+        F.sort_array(F.collect_list(F.struct("unit", "size", "whole", "n"))).alias("asks")), "asked-sets")
+    has = stored(held.filter("often").groupBy("__conv", "holder").agg(
+        F.sort_array(F.collect_list(F.struct("unit", "size"))).alias("has")), "held-sets")
+
+    few = (asked.filter("not often").join(held.filter("not often").drop("often"), key).filter(F.col("holder") < F.col("turn"))
+           .groupBy("__conv", "turn", "holder").agg(F.max("whole").alias("whole"), F.sum("n").alias("n")))
+    both = F.filter("asks", lambda x: F.array_contains("has", F.struct(x["unit"], x["size"])))
+    both = F.coalesce(both, F.expr("array()").cast(asks.schema["asks"].dataType))
+    few = (few.join(asks, ["__conv", "turn"], "left").join(has, ["__conv", "holder"], "left").withColumn("both", both)
+           .select("__conv", "turn", "holder", F.greatest("whole", F.array_max(F.transform("both", lambda x: x["whole"]))).alias("whole"),
+                   (F.col("n") + F.aggregate("both", F.lit(0).cast("bigint"), lambda s, x: s + x["n"])).alias("n")))
+
+    sets = has.groupBy("__conv", "has").agg(F.min("holder").alias("holder")).select("__conv", "holder", F.inline("has"))
+    wanted = asks.select("__conv", "asks").distinct().select("__conv", "asks", F.inline("asks"))
+    many = (wanted.join(stored(sets, "sets"), key).groupBy("__conv", "asks", "holder").agg(F.max("whole").alias("whole"), F.sum("n").alias("n"))
+            .groupBy("__conv", "asks", "whole", "n").agg(F.min("holder").alias("holder")))
+    many = asks.join(stored(many, "frequent-lines"), ["__conv", "asks"]).filter(F.col("holder") < F.col("turn")).select(few.columns)
+    return (few.unionByName(many).groupBy("__conv", "turn").agg(F.max(F.struct("whole", "n", (-F.col("holder")).alias("back"))).alias("best"))
+            .select("__conv", "turn", (-F.col("best.back")).alias("reply_to")))
+
+
 def _roots(links: DataFrame) -> DataFrame:
     """``__conv, turn, thread``: the message that each chain of replies leads to."""
     links = stored(links, "threads")
