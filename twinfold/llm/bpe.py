@@ -8,8 +8,10 @@ to each other when no merge across their border would have come before the
 merges that built them.  Back-pointers then give the ids.
 
 Texts are read whole.  A piece (what the split pattern yields) is encoded once
-and remembered in a bounded cache.  The tokenizer file is read on the driver
-and broadcast: it is a model of a few megabytes and does not grow with the data.
+and remembered in a cache bounded by bytes.  The tokenizer file is read on the
+driver and broadcast: it is a model of a few megabytes and does not grow with
+the data.  :func:`round_trip` encodes and decodes in one Python stage with one
+model; :func:`decode` alone loads only the bytes of the tokens.
 
 Nulls and empty texts have no tokens.  Repeated rows are encoded each for
 itself.  An empty table gives an empty result.  Columns named like the
@@ -19,7 +21,8 @@ results are replaced, others carried along.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -30,9 +33,10 @@ from pyspark.sql import types as T
 
 # Fixed value: the published split pattern of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_CACHED_PIECES = 1 << 17
+_CACHED_BYTES = 24 << 20  # of each half of the piece cache
 _CACHED_LENGTH = 64  # longer pieces are encoded each time
-_CACHED_PAIRS = 1 << 20
+_CACHED_PAIRS = 1 << 18
+_ENTRY = 200  # bytes of a cached piece besides its letters and ids
 _NEVER = 1 << 40
 
 
@@ -43,52 +47,48 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(other)) for b in range(256)]
 
 
-class BpeModel:
+class Decoder:
+    """The bytes of each token."""
+
+    def __init__(self, spec: dict):
+        value = {c: b for b, c in enumerate(byte_letters())}
+        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+        known = {i: bytes(value[c] for c in name) for name, i in spec["model"]["vocab"].items() if name not in self.special}
+        known.update((i, name.encode()) for name, i in self.special.items())
+        self.bytes = [known.get(i, b"") for i in range(max(known) + 1)]
+
+    def decode(self, packed: bytes) -> str:
+        return b"".join(map(self.bytes.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
+
+
+class BpeModel(Decoder):
     """A tokenizer file, ready to encode and decode."""
 
-    def __init__(self, text: str):
-        spec = json.loads(text)
-        self.vocab: dict[str, int] = spec["model"]["vocab"]
+    def __init__(self, spec: dict):
+        super().__init__(spec)
+        vocab: dict[str, int] = spec["model"]["vocab"]
         self.letters = byte_letters()
-        value = {c: b for b, c in enumerate(self.letters)}
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.rank: dict[tuple[int, int], int] = {}
-        self.made: dict[int, int] = {}  # token -> rank of the merge that makes it
+        self.rank: dict[int, int] = {}  # of the merge of two tokens, by left << 32 | right
+        # of each token: its parts and the rank of the merge that makes it, -1 for a single byte
+        self.left, self.right, self.made = (array("i", [-1]) * len(self.bytes) for _ in range(3))
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
-            pair, token = (self.vocab[a], self.vocab[b]), self.vocab[a + b]
-            self.rank[pair] = rank
-            if token not in self.parts:
-                self.parts[token], self.made[token] = pair, rank
+            left, right, token = vocab[a], vocab[b], vocab[a + b]
+            self.rank[left << 32 | right] = rank
+            if self.made[token] < 0:
+                self.left[token], self.right[token], self.made[token] = left, right, rank
         self.automaton = ahocorasick.Automaton()
-        for name, token in self.vocab.items():
-            if token in self.parts or len(name) == 1:
+        for name, token in vocab.items():
+            if self.made[token] >= 0 or len(name) == 1:
                 self.automaton.add_word(name, (token, len(name)))
         self.automaton.make_automaton()
-        self.bytes = {i: bytes(value[c] for c in name) for name, i in self.vocab.items()}
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
-        self.bytes.update((i, name.encode()) for name, i in self.special.items())
         names = sorted(self.special, key=len, reverse=True)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.pieces = regex.compile(PATTERN).findall
         self._pairs: dict[int, bool] = {}
-        self._edges: tuple[dict, dict] = ({}, {})
         self._cache: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
-
-    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
-        """The tokens along the left (0) or right (1) edge of a token, smallest first, each with the rank of
-        the merge that takes it into the next."""
-        known = self._edges[side]
-        if token not in known:
-            line, above, t = [], _NEVER, token
-            while True:
-                line.append((t, above))
-                if t not in self.parts:
-                    break
-                above, t = self.made[t], self.parts[t][side]
-            known[token] = line[::-1]
-        return known[token]
+        self._cached = 0
 
     def can_follow(self, a: int, b: int) -> bool:
         """Whether the text of ``a`` and ``b`` together is encoded as just these two."""
@@ -100,19 +100,19 @@ class BpeModel:
         return known
 
     def _border_holds(self, a: int, b: int) -> bool:
-        left, right, i, j = self._edge(a, 1), self._edge(b, 0), 0, 0
+        """Undoes the merges of both, the latest first, and looks for one across the border that would have come before."""
+        a_ends = b_ends = _NEVER
         while True:
-            (x, x_ends), (y, y_ends) = left[i], right[j]
-            across = self.rank.get((x, y), _NEVER)
+            across = self.rank.get(a << 32 | b, _NEVER)
             # of equal merges the leftmost comes first: the one inside a before, the one inside b after the border's
-            if across < x_ends and across <= y_ends and across < _NEVER:
+            if across < a_ends and across <= b_ends and across < _NEVER:
                 return False
-            if x_ends == y_ends == _NEVER:
+            if self.made[a] < 0 and self.made[b] < 0:
                 return True
-            if x_ends <= y_ends:
-                i += 1
+            if self.made[a] > self.made[b]:
+                a_ends, a = self.made[a], self.right[a]
             else:
-                j += 1
+                b_ends, b = self.made[b], self.left[b]
 
     def piece_ids(self, piece: str) -> list[int]:
         names = self.letters
@@ -133,35 +133,31 @@ class BpeModel:
     def _packed(self, piece: str) -> bytes:
         got = self._older.get(piece) or np.array(self.piece_ids(piece), "<u4").tobytes()
         if len(piece) <= _CACHED_LENGTH:
-            if len(self._cache) >= _CACHED_PIECES:  # what is in use soon moves over from the older half
-                self._older = dict(self._cache)
-                self._cache.clear()
+            self._cached += _ENTRY + len(piece) + len(got)
+            if self._cached > _CACHED_BYTES:  # what is in use soon moves over from the older half
+                self._older, self._cache, self._cached = self._cache, {}, 0
             self._cache[piece] = got
         return got
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        known, make, out = self._cache.get, self._packed, []
+        make, out = self._packed, []
         for k, part in enumerate(self.split_special.split(text) if self.split_special else (text,)):
             if k % 2:
                 out.append(self.special[part].to_bytes(4, "little"))
             elif part:
-                out += [known(p) or make(p) for p in self.pieces(part)]
+                out += [self._cache.get(p) or make(p) for p in self.pieces(part)]
         return b"".join(out)
 
-    def decode(self, packed: bytes) -> str:
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
-
 
-_models: dict[int, BpeModel] = {}
+_models: dict[type, tuple[int, Decoder]] = {}
 
 
-def _model(text: str) -> BpeModel:
-    """One model for each worker process."""
-    if hash(text) not in _models:
-        _models.clear()
-        _models[hash(text)] = BpeModel(text)
-    return _models[hash(text)]
+def _model(text: str, kind: type[Decoder]) -> Decoder:
+    """One model of each kind for each worker process."""
+    if kind not in _models or _models[kind][0] != hash(text):
+        _models[kind] = hash(text), kind(json.loads(text))
+    return _models[kind][1]
 
 
 def read_tokenizer(path: str) -> str:
@@ -169,39 +165,55 @@ def read_tokenizer(path: str) -> str:
         return f.read()
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = max(1, int(batch.num_rows * most / max(most, batch.column(column).nbytes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
 
-def encode(docs: DataFrame, tokenizer: str, text_column: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``ids`` (binary: little-endian unsigned 32-bit numbers) and ``n_tokens long``."""
-    rest = [c for c in docs.columns if c not in (text_column, "ids", "n_tokens")]
+def _run(docs: DataFrame, tokenizer: str, column: str, kind: type[Decoder], drop: tuple[str, ...],
+         made: list[T.StructField], make: Callable[[Decoder, pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+    """``docs`` without the columns ``drop``, with the columns ``made`` that ``make`` gives for a slice of rows."""
+    rest = [c for c in docs.columns if c not in drop and c not in [f.name for f in made]]
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    names = [*rest, *(f.name for f in made)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(shared.value)
-        for part in _slices(batches, text_column):
-            ids = [model.encode(t) if t else b"" for t in part.column(text_column).to_pylist()]
-            counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(ids, pa.binary()), counts], [*rest, "ids", "n_tokens"])
+        model = _model(shared.value, kind)
+        for part in _slices(batches, column):
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *make(model, part.column(column))], names)
+
+    read = docs.select(*rest, *([] if column in rest else [column]))
+    return read.mapInArrow(run, T.StructType([*docs.select(*rest).schema.fields, *made]))
+
+
+_IDS = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
+
+
+def _encoded(model: BpeModel, texts: pa.Array) -> list[pa.Array]:
+    ids = [model.encode(t) if t else b"" for t in texts.to_pylist()]
+    return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+
 
-    schema = T.StructType([*docs.select(*rest).schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
-    return docs.select(*rest, text_column).mapInArrow(run, schema)
+def _decoded(model: Decoder, ids: pa.Array) -> list[pa.Array]:
+    return [pa.array([model.decode(x) if x else "" for x in ids.to_pylist()], pa.string())]
+
+
+def encode(docs: DataFrame, tokenizer: str, text_column: str = "text") -> DataFrame:
+    """``docs`` without its text, with ``ids`` (binary: little-endian unsigned 32-bit numbers) and ``n_tokens long``."""
+    return _run(docs, tokenizer, text_column, BpeModel, (text_column,), _IDS, _encoded)
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids_column: str = "ids", text_column: str = "text") -> DataFrame:
     """``encoded`` with the decoded text; bytes that are no UTF-8 become the replacement character."""
-    encoded = encoded.drop(text_column)
-    rest = list(encoded.columns)
-    shared = encoded.sparkSession.sparkContext.broadcast(tokenizer)
+    return _run(encoded, tokenizer, ids_column, Decoder, (), [T.StructField(text_column, T.StringType())], _decoded)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(shared.value)
-        for part in _slices(batches, ids_column, 4 << 20):
-            texts = [model.decode(x) if x else "" for x in part.column(ids_column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(texts, pa.string())], [*rest, text_column])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(text_column, T.StringType())]))
+def round_trip(docs: DataFrame, tokenizer: str, text_column: str = "text", decoded_column: str = "decoded") -> DataFrame:
+    """:func:`encode` with the text that the ids decode to in ``decoded_column``, in one pass over the rows."""
+    def both(model: BpeModel, texts: pa.Array) -> list[pa.Array]:
+        ids, counts = _encoded(model, texts)
+        return [ids, counts, *_decoded(model, ids)]
+
+    return _run(docs, tokenizer, text_column, BpeModel, (text_column,), [*_IDS, T.StructField(decoded_column, T.StringType())], both)

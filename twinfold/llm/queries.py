@@ -103,6 +103,5 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = bpe.read_tokenizer(tokenizer_path())
-    encoded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer)
-    decoded = bpe.decode(encoded, tokenizer)
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    coded = bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
