@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import bpe, exact, html_crf, licenses, lines, minhash, mixing, quality, quotes, toxicity
+from twinfold.llm import audit, bpe, exact, html_crf, licenses, lines, minhash, mixing, quality, quotes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = bpe.read_tokenizer(tokenizer_path())
     coded = bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query("op13_audit", audit.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
