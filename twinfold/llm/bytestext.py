@@ -48,11 +48,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Chunk:
-    """Some whole texts: lower-cased bytes, words and their texts."""
+    """Some whole texts: bytes as they are and lower-cased, words and their texts."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, separators: np.ndarray = SPACE):
         """``bounds``: where the texts begin and end, one more than there are texts."""
-        self.data, self.bounds = LOWER[data], bounds
+        self.raw, self.data, self.bounds = data, LOWER[data], bounds
         body = ~separators[self.data]
         first, last = body.copy(), body.copy()
         first[1:] &= ~body[:-1]

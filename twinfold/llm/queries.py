@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import audit, bpe, exact, html_crf, licenses, lines, minhash, mixing, quality, quotes, toxicity
+from twinfold.llm import audit, bpe, exact, html_crf, licenses, lines, minhash, mixing, quality, quality_pu, quotes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,6 +107,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@_query("op11_quality_pu")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_pu.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = quality_pu.with_score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", quality_pu.held_out().alias("held_out"), "score", (F.col("score") >= quality_pu.CUT).cast("int").alias("predicted"))
+
+
 @_query("op13_audit", audit.SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
