@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import audit, bpe, exact, html_crf, licenses, lines, minhash, mixing, quality, quality_pu, quotes, toxicity
+from twinfold.llm import audit, bpe, collocations, exact, html_crf, licenses, lines, minhash, mixing, quality, quality_pu, quotes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,6 +115,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_pu.held_out().alias("held_out"), "score", (F.col("score") >= quality_pu.CUT).cast("int").alias("predicted"))
 
 
+@_query("op12_collocations", collocations.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 @_query("op13_audit", audit.SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
