@@ -213,6 +213,15 @@ def round_to_1(x):  # K35
     return _if(f"{x} <> 0", _present(f"cast(round({x} / {scale}) * {scale} as decimal(30,6))"))
 
 
+def near_column(field: str) -> str:
+    return f"__near_keys_{field}"
+
+
+def near(field):
+    """Near agreement: the keys that ``nearness.with_near_keys`` adds for a column."""
+    return near_column(field)
+
+
 # name -> predicate over one value; K33 takes two and is called directly
 PREDICATES: dict[str, Callable[[str], str]] = {
     f.__name__: f
@@ -224,7 +233,7 @@ PREDICATES: dict[str, Callable[[str], str]] = {
         same_five_char_start, same_seven_char_start, suffix_array, sorted_acronym,
         metaphone_token, double_metaphone, whole_set, common_set_element, common_two_elements,
         common_three_elements, last_set_element, first_set_element, magnitude_of_cardinality,
-        order_of_magnitude, round_to_1,
+        order_of_magnitude, round_to_1, near,
     )
 }
 

@@ -125,9 +125,15 @@ def affine_gap(match: float = MATCH, mismatch: float = MISMATCH,
     def distance(left: pd.Series, right: pd.Series) -> pd.Series:
         return _per_distinct_pair(left, right, lambda x, y: _affine_gap_block(x, y, costs))
 
-    return distance
+    return _once(distance)
 
 
+def _once(udf):
+    """A function that no filter on its result is pushed below: it is computed once a row, outside of joins."""
+    return udf.asNondeterministic()
+
+
+@_once
 @F.pandas_udf(T.DoubleType())
 def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """200 * longest common subsequence / summed lengths; two empty texts give 100."""
@@ -139,6 +145,7 @@ def _ratio_block(left: list[str], right: list[str]) -> np.ndarray:
     return np.where(total == 0, 100.0, 200.0 * _common_length_block(left, right) / np.maximum(total, 1))
 
 
+@_once
 @F.pandas_udf(T.BooleanType())
 def _any_close_pair(pairs: pd.Series) -> pd.Series:
     found = [[tuple(p) for p in ps] if ps is not None else [] for ps in pairs]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,8 @@ from pyspark.sql import types as T
 from twinfold.config import FieldSpec
 from twinfold.functions import similarity as sim
 from twinfold.operators.blocking import Rule, candidate_pairs, simplify
+from twinfold.operators.nearness import MOST, Nearness, field_values, near_pairs, with_near_keys
+from twinfold.sources.lineage import stored
 
 MISSING = "__missing"
 _TEXT_TYPES = ("String", "ShortString", "Text")
@@ -102,30 +105,33 @@ def emit_pairs(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.select("left_id", "right_id", "score", (F.col("score") >= threshold).alias("is_duplicate"))
 
 
-def _contribution(model: MatchModel, spec: FieldSpec, agree: frozenset[str]) -> float:
-    """Largest amount a field can add to the logit when only ``agree`` fields agree."""
-    by_name = {s.feature: s for s in model.fields}
+def _range(spec: FieldSpec, agree: frozenset[str], near: Mapping[str, float | None]) -> tuple[float, float]:
+    """Least and largest value of a comparison when only ``agree`` fields agree."""
+    low, high = bounds(spec)
+    if spec.feature in agree or needs(spec, near) is None:
+        return low, high
+    return (near[spec.feature], high) if near.get(spec.feature) is not None else (0.0, 0.0)
 
-    def silent(s: FieldSpec) -> bool:
-        return needs(s) is not None and s.feature not in agree
 
+def _contribution(model: MatchModel, spec: FieldSpec, agree: frozenset[str], near: Mapping[str, float | None]) -> float:
+    """Largest amount a field can add to the logit when only ``agree`` fields agree."""
+    by_name = {s.feature: s for s in model.fields}
     weight = model.weights.get(spec.feature, 0.0)
+    if not weight and spec.type == "Interaction":
+        return 0.0
+    if spec.type == "Interaction":  # a missing part makes it 0
+        ranges = [_range(by_name[p], agree, near) for p in spec.parts]
+        return max(0.0, *(weight * math.prod(r[k] for r in ranges) if all(r[1] for r in ranges) else 0.0 for k in (0, 1)))
+    low, high = _range(spec, agree, near)
     missing = model.weights.get(spec.feature + MISSING, 0.0) if spec.has_missing else 0.0
-    if spec.type == "Interaction":
-        parts = [by_name[p] for p in spec.parts]
-        if any(silent(p) for p in parts):
-            return 0.0
-        top = math.prod(bounds(p)[1] for p in parts)
-        return max(0.0, weight * top) if weight else 0.0
-    if silent(spec):
-        return max(0.0, missing)
-    low, high = bounds(spec)
     return max(weight * low, weight * high if weight else 0.0, missing)
 
 
-def needs(spec: FieldSpec) -> str | None:
-    """The predicate two records must share for the field to compare above 0."""
+def needs(spec: FieldSpec, near: Mapping[str, float | None] | None = None) -> str | None:
+    """The predicate two records must share for the field to compare above 0, or, as a distance, within its cutoff."""
     if spec.comparator is None and spec.needs is None:
+        if near and spec.feature in near:
+            return "near"
         return {"Exact": "whole_field", "Overlap": "common_set_element"}.get(spec.type)
     return spec.needs
 
@@ -133,38 +139,92 @@ def needs(spec: FieldSpec) -> str | None:
 def bounds(spec: FieldSpec) -> tuple[float, float]:
     if spec.comparator is None and spec.type in ("Exact", "Overlap", "Edit", "Custom"):
         return (0.0, 1.0)
+    if spec.comparator is None and spec.type in _TEXT_TYPES:
+        return (sim.MATCH / 2, sim.GAP_OPEN + sim.GAP_EXTEND)  # equal texts, and no letter in common
     return spec.bounds
 
 
-def needed_agreements(model: MatchModel, threshold: float) -> list[Rule]:
+def _goal(threshold: float) -> float:
+    return math.log(threshold / (1 - threshold)) if 0 < threshold < 1 else (-math.inf if threshold <= 0 else math.inf)
+
+
+def near_cutoffs(model: MatchModel, threshold: float) -> dict[str, float | None]:
+    """Features that a similarity join can ask for: lists of near items (None), and texts with the largest useful distance.
+
+    Beyond that distance the text alone keeps a pair from the threshold, or it is the largest that the join can find.
+    """
+    goal = _goal(threshold)
+    every = frozenset(s.feature for s in model.fields)
+    near: dict[str, float | None] = {}
+    best = model.bias + sum(_contribution(model, s, every, {}) for s in model.fields)
+    for s in model.fields:
+        weight = model.weights.get(s.feature, 0.0)
+        if s.comparator is not None or s.needs is not None:
+            continue
+        if s.type == "Custom":
+            near[s.feature] = None
+        elif s.type in _TEXT_TYPES and weight < 0 and best >= goal:
+            near[s.feature] = min(MOST, bounds(s)[0] + (best - goal + 1e-9) / -weight)
+    return near
+
+
+def needed_agreements(model: MatchModel, threshold: float, near: Mapping[str, float | None] | None = None) -> list[Rule]:
     """The minimal sets of agreements without one of which no pair reaches the threshold.
 
     An empty set means the model can accept a pair that agrees on no key.  The
-    search is over the handful of configured fields, never over data.
+    search is over the handful of configured fields, never over data.  ``near``
+    names the features whose near agreement can be joined on.
     """
-    goal = math.log(threshold / (1 - threshold)) if 0 < threshold < 1 else (-math.inf if threshold <= 0 else math.inf)
-    keyed = [s for s in model.fields if needs(s) is not None]
+    near, goal = near or {}, _goal(threshold)
+    keyed = [s for s in model.fields if s.type != "Interaction" and needs(s, near) is not None]
     found: list[frozenset[str]] = []
     for size in range(len(keyed) + 1):
         for chosen in combinations((s.feature for s in keyed), size):
             agree = frozenset(chosen)
             if any(f <= agree for f in found):
                 continue
-            if model.bias + sum(_contribution(model, s, agree) for s in model.fields) >= goal - 1e-9:
+            if model.bias + sum(_contribution(model, s, agree, near) for s in model.fields) >= goal - 1e-9:
                 found.append(agree)
     by_name = {s.feature: s for s in keyed}
-    return [frozenset((needs(by_name[f]), by_name[f].field) for f in agree) for agree in found]
+    return [frozenset((needs(by_name[f], near), by_name[f].field) for f in agree) for agree in found]
 
 
-def matching_rules(blocking: Sequence[Rule], model: MatchModel, threshold: float) -> list[Rule]:
+def matching_rules(blocking: Sequence[Rule], model: MatchModel, threshold: float, near: Mapping[str, float | None] | None = None,
+                   sizes: Mapping[str, int] | None = None) -> list[Rule]:
     """Blocking rules tightened by what the score calls for.
 
     A pair that shares a block key and reaches the threshold satisfies at
     least one of the returned rules, so joining on them loses no match, while a
     key shared by a large part of the table is only used together with further
-    agreements.
+    agreements.  Of several near agreements a rule takes one, that of the field
+    with the fewest near pairs by ``sizes``: each would multiply the keys.
+    """
+    def loosened(needed: Rule) -> Rule:
+        fields = sorted((f for p, f in needed if p == "near"), key=lambda f: ((sizes or {}).get(f, 0), f))
+        return frozenset(a for a in needed if a[0] != "near" or a[1] == fields[0])
+
+    return simplify(b | loosened(n) for b in blocking for n in needed_agreements(model, threshold, near))
+
+
+def tightened(blocking: Sequence[Rule], model: MatchModel, threshold: float, *frames: DataFrame,
+              id_column: str = "record_id") -> tuple[list[Rule], tuple[DataFrame, ...]]:
+    """:func:`matching_rules` with near agreements, and ``frames`` with the keys that they read.
+
+    The similarity joins run over the values of all frames together, once for each field that a rule may ask for.
     """
-    return simplify(b | n for b in blocking for n in needed_agreements(model, threshold))
+    near = near_cutoffs(model, threshold)
+    field_of = {s.feature: s.field for s in model.fields}
+    wanted = {f for n in needed_agreements(model, threshold, near) for p, f in n if p == "near"}
+    joined, sizes = {}, {}
+    for feature, cutoff in near.items():
+        field = field_of[feature]
+        if field in wanted and field not in joined:
+            values = reduce(DataFrame.union, [field_values(f, field) for f in frames])
+            joined[field] = stored(near_pairs(values, Nearness(cutoff)), "near-pairs")
+            sizes[field] = joined[field].count()
+    rules = matching_rules(blocking, model, threshold, near, sizes)
+    read = {f for r in rules for p, f in r if p == "near"}
+    return rules, tuple(with_near_keys(f, {k: v for k, v in joined.items() if k in read}, id_column) for f in frames)
 
 
 def matching_pairs(records: DataFrame, blocking: Sequence[Rule], model: MatchModel, threshold: float,
@@ -174,7 +234,7 @@ def matching_pairs(records: DataFrame, blocking: Sequence[Rule], model: MatchMod
     The compared fields travel with the block keys, so pairs are scored and
     filtered inside the join stage; only matches are shuffled again.
     """
-    rules = matching_rules(blocking, model, threshold)
+    rules, (records,) = tightened(blocking, model, threshold, records, id_column=id_column)
     if not rules:  # no pair can reach the threshold
         return (records.select(F.col(id_column).alias("left_id"), F.col(id_column).alias("right_id"),
                                F.lit(0.0).alias("score")).filter(F.lit(False)))

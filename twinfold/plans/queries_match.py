@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from twinfold.config import FieldSpec, MatchConfig
 from twinfold.functions import similarity as sim
 from twinfold.functions.validate import valid_date_text
-from twinfold.operators import blocking, cluster, learn, link, scoring
+from twinfold.operators import blocking, cluster, learn, link, nearness, scoring
 from twinfold.operators.blocking import rule
 from twinfold.operators.clean import preprocess
 from twinfold.operators.profile import run_counts, score_histogram
@@ -19,7 +19,7 @@ from twinfold.plans.persons import BLOCKING, MODEL, clean_persons, persons, tabl
 from twinfold.plans.queries_blocking import PERSON_KEYS, PERSON_PAIRS
 from twinfold.plans.registry import query
 from twinfold.sources import writers
-from twinfold.sources.lineage import scratch_path
+from twinfold.sources.lineage import scratch_path, stored
 from twinfold.sources.readers import read_csv
 from twinfold.streaming import linkage
 
@@ -485,3 +485,53 @@ def m7_s10_models_info(spark: SparkSession, sf: str) -> DataFrame:
     dedupe.run("trainModel", path, people, person_labels(spark, sf), TRAINING_FIELDS, CANDIDATE_RULES)
     info = dedupe.run("getModelsInfo", spark, {1: path})
     return info.select("model_id", "n_labels", "n_match", "feature", F.col("weight").isNotNull().alias("has_weight"))
+
+
+# ---- near agreement ------------------------------------------------------------------------
+
+NAME_CUTOFF = 1.3
+
+
+def _near_sql(values: str, lengths: str, edits: str, near: str) -> str:
+    """All pairs of distinct values, those that lengths and edit distance rule out left out first."""
+    return over_clean(f"""
+        SELECT a, b FROM (SELECT x.v AS a, y.v AS b FROM v x JOIN v y ON x.v < y.v AND {lengths} AND levenshtein(x.v, y.v) <= {edits}) WHERE {near}""",
+                      f"v AS (SELECT DISTINCT v FROM (SELECT {values} AS v FROM clean) WHERE v <> '')")
+
+
+# what a near pair may cost beyond matches is 0.8 a letter, and an edit costs 6.5 or more
+@query("g2_near_names", _near_sql("birth_family_name", "true", "0.123 * (length(x.v) + length(y.v))", f"{gotoh_sql('a', 'b')} <= {NAME_CUTOFF}"))
+def g2_near_names(spark: SparkSession, sf: str) -> DataFrame:
+    return nearness.near_pairs(nearness.field_values(clean_persons(spark, sf), "birth_family_name"), nearness.Nearness(NAME_CUTOFF))
+
+
+@query("g5_near_items", _near_sql("unnest(emails)", "length(x.v) BETWEEN 0.73 * length(y.v) AND length(y.v) / 0.73",
+                                  "0.15 * (length(x.v) + length(y.v))", f"{ratio_sql('a', 'b')} > 85"))
+def g5_near_items(spark: SparkSession, sf: str) -> DataFrame:
+    return nearness.near_pairs(nearness.field_values(clean_persons(spark, sf), "emails"), nearness.Nearness())
+
+
+# ---- from labels to clusters and links ------------------------------------------------------
+
+LEARNED_FIELDS = ("sex", "birth_first_name", "birth_family_name", "birth_date", "emails", "telephones", "combined_full_name_birth")
+LEARNED = MatchConfig(fields=tuple(s for s in MatchConfig().fields if s.feature in LEARNED_FIELDS))
+
+
+def configured_labels(records: DataFrame) -> DataFrame:
+    """``left_id, right_id, label``: pairs of a twenty-fourth of the persons, with their other copies and with other persons."""
+    ids = records.select("record_id", F.floor(F.col("record_id") / 10).alias("person"))
+    some = ids.filter("person % 24 = 0").select(F.col("record_id").alias("x"), "person")
+    others = some.withColumn("person", F.explode(F.array(*(F.col("person") + 12 * j for j in range(4)))))
+    both = others.join(ids.select(F.col("record_id").alias("y"), "person"), "person").filter("x <> y")
+    hard = learn.prepare_training(blocking.candidate_pairs(records, [rule(("whole_field", "birth_first_name"))]), 600)
+    pairs = both.select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id")).union(hard.select("left_id", "right_id")).distinct()
+    return pairs.withColumn("label", (F.floor(F.col("left_id") / 10) == F.floor(F.col("right_id") / 10)).cast("int"))
+
+
+@query("m8_learned_clusters")
+def m8_learned_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    # text, date and list fields of the configuration: labels -> predicates and weights -> clusters
+    people = persons(spark, sf)
+    labels = stored(configured_labels(dedupe.prepare(people, LEARNED)), "labels")
+    membership, _ = dedupe.run("datasetDeduplicationCluster", people, config=LEARNED, labels=labels, model_path=scratch_path(spark, "model"))
+    return membership.withColumn("confidence_score", F.round("confidence_score", 6))
