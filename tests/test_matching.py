@@ -100,7 +100,7 @@ def test_components_agree_with_union_find(spark, seed):
     assert got == {n: root(n) for n in parent if any(n in e and e[0] != e[1] for e in edges)}
 
 
-def clusters_by_definition(weight, scores, threshold):
+def clusters_by_definition(weight, scores, threshold, edges=None):
     """Centroid linkage from full distance matrices: mean squared distance between members minus both variances."""
     ids = sorted(weight)
     d2 = {(i, j): 0.0 if i == j else (1 - scores.get((min(i, j), max(i, j)), 0.0)) ** 2 for i in ids for j in ids}
@@ -113,7 +113,7 @@ def clusters_by_definition(weight, scores, threshold):
         near = {}
         for p, q in itertools.combinations(groups, 2):
             d = mean(p, q) - mean(p, p) / 2 - mean(q, q) / 2
-            if d <= (1 - threshold) ** 2 and any((min(i, j), max(i, j)) in scores for i in p for j in q):
+            if d <= (1 - threshold) ** 2 and any((min(i, j), max(i, j)) in (edges or scores) for i in p for j in q):
                 for x, y in ((p, q), (q, p)):
                     near[x] = min(near.get(x, (9, None)), (d, y))
         merged = {p for p in near if near[near[p][1]][1] == p}
@@ -139,6 +139,32 @@ def test_clusters_agree_with_the_definition(spark, seed):
         assert got[i].confidence_score == pytest.approx(1 - math.sqrt(total / others) if others else 1.0)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_missing_scores_are_asked_for_late(spark, seed):
+    """The clusters are those of all scores, of which only some are ever asked for."""
+    rng = random.Random(seed)
+    weight = {i: rng.choice([1, 1, 1, 3]) for i in range(48)}
+    scores = {p: rng.uniform(0.5, 1) if (p[0] % 6 == p[1] % 6 and rng.random() < 0.6) or rng.random() < 0.01 else rng.uniform(0.0, 0.499)
+              for p in itertools.combinations(range(48), 2)}
+    matches = {k for k, v in scores.items() if v >= 0.5}
+    items = spark.createDataFrame([(i, w, 1.0) for i, w in weight.items()], "record_id long, copies int, own double")
+    every = spark.createDataFrame([(*k, v) for k, v in scores.items()], "left_id long, right_id long, score double")
+    asked = []
+
+    def scorer(pairs):
+        asked.extend((r.left_id, r.right_id) for r in pairs.collect())
+        return pairs.join(every, ["left_id", "right_id"])
+
+    got = {r.record_id: r for r in cluster.agglomerate(items, every.filter("score >= 0.5"), 0.5, scorer).collect()}
+    want = clusters_by_definition(weight, scores, 0.5, matches)
+    assert {i: r.cluster_id for i, r in got.items()} == want and 1 < len(set(want.values())) < 40
+    assert len(asked) == len(set(asked)) and not matches & set(asked) and 0 < len(asked) < len(scores) / 2
+    for i in weight:
+        mates = [j for j in weight if want[j] == want[i] and j != i]
+        total, others = sum(weight[j] * (1 - scores[min(i, j), max(i, j)]) ** 2 for j in mates), sum(weight[j] for j in mates) + weight[i] - 1
+        assert got[i].confidence_score == pytest.approx(1 - math.sqrt(total / others) if others else 1.0)
+
+
 @pytest.mark.parametrize("members", [6, 300])
 def test_components_of_every_size_follow_one_rule(spark, members):
     """All match all at one score: one cluster, whatever its size, in few rounds in spite of the ties."""
@@ -198,11 +224,11 @@ def test_pairs_below_the_threshold_keep_their_distance(spark):
     rules = [rule(("common_set_element", "e"))]
     logistic = lambda x: 1 / (1 + math.exp(-x))
     near, far = 1 - logistic(3 + 1.6 - 1.6), 1 - logistic(2 * 0.6 - 1.6)
-    got = {r.record_id: r for r in dedupe.get_clusters(df, model, rules, score_all=True).collect()}
+    got = {r.record_id: r for r in dedupe.get_clusters(df, model, rules).collect()}
     assert far > 0.5 and {r.cluster_id for r in got.values()} == {1}
     assert got[1].confidence_score == pytest.approx(1 - math.sqrt((near**2 + far**2) / 2))
     assert got[2].confidence_score == pytest.approx(1 - near)
-    assert len({r.cluster_id for r in dedupe.get_clusters(df, model, rules).collect()}) == 2
+    assert len({r.cluster_id for r in dedupe.get_clusters(df, model, rules, score_missing=False).collect()}) == 2
 
 
 def test_linking_one_record(spark):

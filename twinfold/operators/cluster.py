@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.sources.lineage import cut_lineage, stored
 
+#: ``left_id, right_id`` -> ``left_id, right_id, score``
+Scorer = Callable[[DataFrame], DataFrame]
+
 
 def connected_components(edges: DataFrame, left: str = "left_id", right: str = "right_id") -> DataFrame:
     """L1: ``record_id, component`` for every record on an edge; a component is named by its smallest id.
@@ -48,62 +53,123 @@ def _small_star(links: DataFrame) -> DataFrame:
     return _canonical(moved.unionByName(low.select("u", F.col("m").alias("v"))))
 
 
-def agglomerate(items: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
+def agglomerate(items: DataFrame, edges: DataFrame, threshold: float, scorer: Scorer | None = None) -> DataFrame:
     """L2-L4: ``record_id, cluster_id, confidence_score`` by centroid linkage, one rule for components of every size.
 
     ``items`` has ``record_id, copies, own``: how many identical records an item
     stands for and the score of two of them.  ``edges`` has ``left_id, right_id,
-    score``; the distance of a scored pair is ``1 - score``, that of any other 1.
+    score``; the distance of a scored pair is ``1 - score``.  ``scorer`` turns
+    ``left_id, right_id`` into these columns for pairs that are no edges; without
+    one their distance is 1.
 
     The squared distance of two centroids is the mean squared distance between
     their members minus the variance of either cluster, so sums per cluster and
     per pair of clusters are all that is kept.  In a round every cluster finds
-    its nearest neighbour among those it has scored pairs with, and mutual
+    its nearest neighbour among those it has edges with, and mutual
     nearest ones no farther apart than ``1 - threshold`` merge.  Ties are broken
     by a hash of the pair, so that a mass of equal distances merges in a
     logarithmic number of rounds.
+
+    Missing scores are asked for as late as possible: only between two clusters
+    that could be nearest if all their unscored pairs were equal, and would not
+    surely be farther apart than another neighbour if these had nothing in common.
     """
     limit2 = (1 - threshold) ** 2
-    near = 1 - (1 - F.col("score")) * (1 - F.col("score"))  # what a scored pair takes off the squared distance 1
-    weight = items.select("record_id", F.col("copies").cast("double").alias("w"))
-    pairs = stored(edges.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), near.alias("near"))
-                   .join(weight.select(F.col("record_id").alias("a"), F.col("w").alias("wa")), "a")
-                   .join(weight.select(F.col("record_id").alias("b"), F.col("w").alias("wb")), "b"), "edges")
-    links = stored(pairs.select("a", "b", (F.col("near") * F.col("wa") * F.col("wb")).alias("s")), "links")
-    # w: records, q: sum of squared weights, s: sum over the scored pairs inside
+    weight = stored(items.select("record_id", F.col("copies").cast("double").alias("w")), "weights")
+    pairs = stored(_weighted(edges, weight), "edges")
+    # s: what the known pairs take off the squared distance 1, k: how many known pairs of records
+    links = stored(pairs.select("a", "b", (F.col("near") * F.col("wa") * F.col("wb")).alias("s"), (F.col("wa") * F.col("wb")).alias("k")), "links")
+    # w: records, q: sum of squared weights, s: sum over the pairs inside
     state = stored(weight.select(F.col("record_id").alias("c"), "w", (F.col("w") * F.col("w")).alias("q"), F.lit(0.0).alias("s")), "clusters")
     label = stored(weight.select("record_id", F.col("record_id").alias("c")), "labels")
     while True:
-        merged = stored(_mutual_nearest(links, state, limit2), "merged")
+        close = stored(_close(links, state, limit2, scorer is not None), "close")
+        if scorer is not None:
+            wanted = stored(_open_links(close), "open-links")
+            if not wanted.isEmpty():
+                found = stored(_weighted(scorer(_unscored(wanted, label, pairs)), weight), "edges")
+                pairs, links = pairs.unionByName(found), stored(_with_scores(links, found, label), "links")
+                close = stored(_close(links, state, limit2, True), "close")
+        merged = stored(_mutual_nearest(close), "merged")
         if merged.isEmpty():
             break
         inside = merged.select(F.col("keep").alias("c"), F.lit(0.0).alias("w"), F.lit(0.0).alias("q"), "s")
         state = stored(_renamed(state, merged, "c").unionByName(inside).groupBy("c")
                        .agg(F.sum("w").alias("w"), F.sum("q").alias("q"), F.sum("s").alias("s")), "clusters")
         moved = _renamed(_renamed(links, merged, "a"), merged, "b").filter(F.col("a") != F.col("b"))
-        links = stored(moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s")), "links")
+        links = stored(_summed(moved), "links")
         label = stored(_renamed(label, merged, "c"), "labels")
     return _confidences(items, pairs, label, state)
 
 
+def _weighted(edges: DataFrame, weight: DataFrame) -> DataFrame:
+    """``a, b, near, wa, wb`` of scored pairs; ``near`` is what a pair takes off the squared distance 1."""
+    near = 1 - (1 - F.col("score")) * (1 - F.col("score"))
+    return (edges.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), near.alias("near"))
+            .join(weight.select(F.col("record_id").alias("a"), F.col("w").alias("wa")), "a")
+            .join(weight.select(F.col("record_id").alias("b"), F.col("w").alias("wb")), "b"))
+
+
+def _summed(links: DataFrame) -> DataFrame:
+    return links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
+
+
+def _close(links: DataFrame, state: DataFrame, limit2: float, asks: bool) -> DataFrame:
+    """``a, b, s, open, low, order``: pairs of clusters that may merge.
+
+    ``order`` begins with the squared distance if unscored pairs have nothing in
+    common; ``low`` is that with equal ones, ``open`` whether there are any.
+    """
+    spread = ((F.col("w") * F.col("w") - F.col("q")) / 2 - F.col("s")) / (F.col("w") * F.col("w"))
+    of = {x: state.select(F.col("c").alias(x), F.col("w").alias(f"w{x}"), spread.alias(f"v{x}")) for x in "ab"}
+    full = F.col("wa") * F.col("wb")
+    missing = F.greatest(full - F.col("k"), F.lit(0.0)) if asks else F.lit(0.0)
+    high = 1 - F.col("s") / full - F.col("va") - F.col("vb")
+    return (links.join(of["a"], "a").join(of["b"], "b")
+            .select("a", "b", "s", (missing > 0.5).alias("open"), (high - missing / full).alias("low"),
+                    F.struct(high.alias("d2"), F.xxhash64("a", "b").alias("h"), F.col("a").alias("a"), F.col("b").alias("b")).alias("order"))
+            .filter(F.col("low") <= limit2))
+
+
+def _ends(close: DataFrame, value: str) -> DataFrame:
+    return close.select(F.col("a").alias("c"), value).unionByName(close.select(F.col("b").alias("c"), value))
+
+
+def _open_links(close: DataFrame) -> DataFrame:
+    """``a, b``: pairs of clusters with unscored pairs that could be the nearest ones of either cluster."""
+    surely = stored(_ends(close, "order").groupBy("c").agg(F.min("order.d2").alias("d2")), "surely")
+    of = {x: surely.select(F.col("c").alias(x), F.col("d2").alias(f"d{x}")) for x in "ab"}
+    return (close.filter("open").join(of["a"], "a").join(of["b"], "b")
+            .filter(F.col("low") <= F.greatest("da", "db") + 1e-12).select("a", "b"))
+
+
+def _unscored(wanted: DataFrame, label: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``left_id, right_id``: the pairs of members of the wanted clusters that have no score yet."""
+    x, y = (label.select(F.col("c").alias(c), F.col("record_id").alias(r)) for c, r in (("a", "x"), ("b", "y")))
+    both = wanted.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return both.join(known, ["a", "b"], "left_anti").select(F.col("a").alias("left_id"), F.col("b").alias("right_id"))
+
+
+def _with_scores(links: DataFrame, found: DataFrame, label: DataFrame) -> DataFrame:
+    """The links with the newly scored pairs of their clusters' members."""
+    of = {x: label.select(F.col("record_id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab"}
+    more = found.join(of["a"], "a").join(of["b"], "b").select(
+        F.col("ca").alias("a"), F.col("cb").alias("b"), (F.col("near") * F.col("wa") * F.col("wb")).alias("s"), (F.col("wa") * F.col("wb")).alias("k"))
+    return _summed(links.unionByName(more))
+
+
 def _renamed(df: DataFrame, merged: DataFrame, column: str) -> DataFrame:
     names = merged.select(F.col("gone").alias(column), F.col("keep").alias("__keep"))
     return df.join(names, column, "left").withColumn(column, F.coalesce("__keep", column)).drop("__keep").select(df.columns)
 
 
-def _mutual_nearest(links: DataFrame, state: DataFrame, limit2: float) -> DataFrame:
+def _mutual_nearest(close: DataFrame) -> DataFrame:
     """``keep, gone, s``: clusters to merge; the smaller id stays."""
-    spread = ((F.col("w") * F.col("w") - F.col("q")) / 2 - F.col("s")) / (F.col("w") * F.col("w"))
-    of = {x: state.select(F.col("c").alias(x), F.col("w").alias(f"w{x}"), spread.alias(f"v{x}")) for x in "ab"}
-    d2 = 1 - F.col("s") / (F.col("wa") * F.col("wb")) - F.col("va") - F.col("vb")
-    close = (links.join(of["a"], "a").join(of["b"], "b")
-             .select("a", "b", "s", F.struct(d2.alias("d2"), F.xxhash64("a", "b").alias("h"), F.col("a").alias("a"), F.col("b").alias("b")).alias("order"))
-             .filter(F.col("order.d2") <= limit2))
-    close = stored(close, "close")
-    ends = close.select(F.col("a").alias("c"), "order").unionByName(close.select(F.col("b").alias("c"), "order"))
-    nearest = stored(ends.groupBy("c").agg(F.min("order").alias("best")), "nearest")
+    sure = close.filter("not open")
+    nearest = stored(_ends(close, "order").groupBy("c").agg(F.min("order").alias("best")), "nearest")
     best = {x: nearest.select(F.col("c").alias(x), F.col("best").alias(f"best_{x}")) for x in "ab"}
-    both = close.join(best["a"], "a").join(best["b"], "b")
+    both = sure.join(best["a"], "a").join(best["b"], "b")
     return (both.filter((F.col("order") == F.col("best_a")) & (F.col("order") == F.col("best_b")))
             .select(F.least("a", "b").alias("keep"), F.greatest("a", "b").alias("gone"), "s"))
 
