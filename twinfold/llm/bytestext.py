@@ -12,8 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 U64 = np.uint64
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -47,6 +49,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Rows with whole texts are large: Arrow batches of ``rows`` instead of Spark's 10,000, unless the session has its own number."""
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, str(rows))
+
+
 class Chunk:
     """Some whole texts: bytes as they are and lower-cased, words and their texts."""
 

@@ -2,8 +2,8 @@
 
 Each text has a set of word shingles and a signature of ``COORDINATES`` minima.
 Texts are posted under each (coordinate, value) pair.  Two texts of the wanted
-similarity agree in at least ``MATCHES`` coordinates (but for 1.5 pairs in
-100,000 that are exactly at 0.75), which gives three kinds of lists:
+similarity agree in at least ``MATCHES`` coordinates (but for one pair in
+40 million of those that are exactly at 0.75), which gives three kinds of lists:
 
 * Values of one text only cannot collide and are not posted.
 * *Prefix*: of the other values a text posts the rarest only, so many that two
@@ -37,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm.bytestext import chunks, constants, mix, shingle_sets
+from twinfold.llm.bytestext import chunks, constants, mix, shingle_sets, small_batches
 from twinfold.operators.cluster import connected_components
 from twinfold.sources.lineage import stored
 
 SHINGLE, PERCENT = 5, 75  # words; intersection per hundred of the union
-COORDINATES, MATCHES = 64, 33
+COORDINATES, MATCHES = 64, 28
 LONG_LIST = 32
 _U32 = np.uint64(32)
 
@@ -159,19 +159,11 @@ def _heads(posts: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a"), batch.column("b")):
-                a, b = a.values.to_numpy(), b.values.to_numpy()
-                same = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * same >= PERCENT * (len(a) + len(b) - same) and same > 0)
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    kind = pairs.schema["u"].dataType.simpleString()
     a = sets.select(F.col("rep").alias("u"), F.col("shingles").alias("a"))
     b = sets.select(F.col("rep").alias("v"), F.col("shingles").alias("b"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, f"u {kind}, v {kind}")
+    same = F.size(F.array_intersect("a", "b")).cast("bigint")
+    return (pairs.join(a, "u").join(b, "v").select("u", "v", same.alias("same"), (F.size("a") + F.size("b")).cast("bigint").alias("both"))
+            .filter((F.col("same") > 0) & (100 * F.col("same") >= PERCENT * (F.col("both") - F.col("same")))).select("u", "v"))
 
 
 def _across(posts: DataFrame, components: DataFrame) -> DataFrame:
@@ -224,6 +216,7 @@ def links(docs: DataFrame, reps: DataFrame, id_column: str, text_column: str, sh
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``<id>, n_shingles, component_id, kept`` for each row; the smallest id of a component stays."""
+    small_batches(docs.sparkSession)
     sketched = stored(sketches(docs, id_column, text_column, shingle), "sketches")
     key = ["set_a", "set_b", "n_shingles"]
     some = sketched.filter(F.col(id_column).isNotNull() & (F.col("n_shingles") > 0))
