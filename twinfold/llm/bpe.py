@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from twinfold.llm.bytestext import small_batches
+
 # Fixed value: the published split pattern of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _CACHED_BYTES = 24 << 20  # of each half of the piece cache
@@ -176,6 +178,7 @@ def _run(docs: DataFrame, tokenizer: str, column: str, kind: type[Decoder], drop
          made: list[T.StructField], make: Callable[[Decoder, pa.RecordBatch], list[pa.Array]]) -> DataFrame:
     """``docs`` without the columns ``drop``, with the columns ``made`` that ``make`` gives for a slice of rows."""
     rest = [c for c in docs.columns if c not in drop and c not in [f.name for f in made]]
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
     names = [*rest, *(f.name for f in made)]
 

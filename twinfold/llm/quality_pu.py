@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinfold.llm.bytestext import Chunk, chunks, constants, mix
+from twinfold.llm.bytestext import Chunk, chunks, constants, mix, small_batches
 from twinfold.sources.lineage import stored
 
 POSITIVES, UNLABELLED = 5_000, 10_000
@@ -228,6 +228,7 @@ def _traits_of(batches: Iterator[pa.RecordBatch], texts: str) -> Iterator[tuple[
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, id_column: str = "doc_id",
         text_column: str = "text", label_column: str = "quality") -> QualityModel:
     """A model from the texts labelled 1, but for those held out, and from unlabelled texts."""
+    small_batches(docs.sparkSession)
     known = (labels.filter(F.col(id_column).isNotNull() & F.col(label_column).isNotNull() & ~held_out(id_column))
              .groupBy(id_column).agg(F.min(F.col(label_column).cast("int")).alias("__label")))
     good = stored(known.filter("__label = 1").select(id_column), "good")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinfold.llm.bytestext import PUNCTUATION, Chunk, chunks
+from twinfold.llm.bytestext import PUNCTUATION, Chunk, chunks, small_batches
 from twinfold.sources.lineage import stored
 
 PREFIXES = (4, 5, 6, 7, 8)  # bytes
@@ -146,6 +146,7 @@ def _labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_colu
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_features: int = MAX_FEATURES,
         id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> ToxicityModel:
     """A model from labels of texts that are not held out."""
+    small_batches(docs.sparkSession)
     sample, counts = _labelled_sample(docs, labels, per_class, id_column, text_column, label_column)
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     none = np.zeros(0)
@@ -194,7 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_feat
                 yield pa.RecordBatch.from_arrays([pa.array(label[at: at + len(bags)], pa.int32()),
                                                   pa.array(bags, pa.list_(pa.list_(pa.int32())))], ["label", "bag"])
 
-    rows = sample.mapInArrow(entries, "label int, bag array<array<int>>").orderBy("label", "bag").collect()
+    rows = sample.mapInArrow(entries, "label int, bag array<array<int>>").collect()
+    rows.sort(key=lambda r: (r["label"], r["bag"]))  # the same model whatever order the rows come in
     label = np.array([r["label"] for r in rows], bool)
     bags = [s for r in rows for s in r["bag"]]
     text = np.repeat(np.arange(len(rows)), [len(r["bag"]) for r in rows])
