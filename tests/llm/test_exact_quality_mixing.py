@@ -122,3 +122,13 @@ def test_mixture(spark):
     assert again == {r.doc_id: r.copies for r in got}
     out = mixing.mixed(frame)
     assert out.columns == frame.columns and Counter(r.doc_id for r in out.collect()) == Counter({r.doc_id: r.copies for r in got if r.copies})
+
+
+def test_quality_with_clashing_columns(spark):
+    texts = [(i, " ".join(f"w{k}" for k in range(60 + i)), "en", "a") for i in range(5)] + [(9, None, None, None)]
+    plain = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string")
+    extra = plain.selectExpr("*", "1 as low_symbol_share", "2 as high_word_length", "'x' as symbol_share", "3 as n_words", "'y' as kept")
+    want = {r.doc_id: r.kept for r in quality.judge(plain).collect()}
+    got = quality.judge(extra)
+    assert {r.doc_id: r.kept for r in got.collect()} == want
+    assert {"low_symbol_share", "high_word_length"} <= set(got.columns) and len(set(got.columns)) == len(got.columns)

@@ -10,7 +10,8 @@ rules enter the sketches.
 
 Nulls: a null text has no words and fails; null languages and sources are kinds
 of their own.  Repeated rows count as often as they stand there.  An empty table
-gives an empty result.  Extra columns are carried along.
+gives an empty result.  Extra columns are carried along; those named like a count,
+a share or a verdict are replaced.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def _kind(column: str) -> Column:
 
 
 def thresholds(measured: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """``__lang, __source`` and ``low_``/``high_`` of each share, one row per kind in ``measured``."""
+    """``__lang, __source`` and ``__low_``/``__high_`` of each share, one row per kind in ``measured``."""
     quartiles = [F.percentile_approx(c, [0.25, 0.75], _ACCURACY).alias(c) for c in FENCES]
     # a kind without passing texts still gets the thresholds of its language
     passing = [F.when(F.col("base_failed"), None).otherwise(F.col(c)).alias(c) for c in FENCES]
@@ -94,7 +95,7 @@ def thresholds(measured: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     for c, (times, least) in FENCES.items():
         q1, q3 = F.col(f"q.{c}")[0], F.col(f"q.{c}")[1]
         reach = F.greatest(times * (q3 - q1), F.lit(least))
-        bounds += [(q1 - reach).alias(f"low_{c}"), (q3 + reach).alias(f"high_{c}")]
+        bounds += [(q1 - reach).alias(f"__low_{c}"), (q3 + reach).alias(f"__high_{c}")]
     return chosen.select("__lang", "__source", *bounds)
 
 
@@ -106,9 +107,9 @@ def judge(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
     bounds = stored(thresholds(measured, min_rows), "thresholds")
     fits = F.lit(True)
     for c in FENCES:
-        inside = (F.col(c) <= F.col(f"high_{c}")) & (F.col(c) >= F.col(f"low_{c}"))
+        inside = (F.col(c) <= F.col(f"__high_{c}")) & (F.col(c) >= F.col(f"__low_{c}"))
         fits = fits & F.coalesce(inside, F.lit(True))
-    drop = ["__lang", "__source", *(f"{side}_{c}" for side in ("low", "high") for c in FENCES)]
+    drop = ["__lang", "__source", *(f"__{side}_{c}" for side in ("low", "high") for c in FENCES)]
     return (measured.join(bounds, ["__lang", "__source"], "left")
             .withColumn("kept", ~F.col("base_failed") & fits).drop(*drop))
 
