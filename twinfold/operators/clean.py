@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from twinfold.config import LIST_COLUMNS, MatchConfig
 from twinfold.functions import text
 from twinfold.operators.ranking import with_row_index
+from twinfold.sources.lineage import cut_lineage
 
 
 def ensure_columns(df: DataFrame, required: Iterable[str]) -> DataFrame:
@@ -76,7 +77,8 @@ def with_record_id(df: DataFrame, id_column: str = "id", order_by: Sequence[str]
     Only the id-less rows are numbered, in ``order_by`` or scan order; the
     others are not shuffled.
     """
-    keyed = df.withColumn("record_id", text.safe_int(F.col(id_column)))
+    # read three times: the known ids, the largest of them, the rows without one
+    keyed = cut_lineage(df.withColumn("record_id", text.safe_int(F.col(id_column))))
     known, unknown = keyed.filter(F.col("record_id").isNotNull()), keyed.filter(F.col("record_id").isNull())
     top = known.agg(F.coalesce(F.max("record_id"), F.lit(0))).scalar()
     numbered = with_row_index(unknown, order_by).withColumn("record_id", top + 1 + F.col("__index"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from twinfold.config import LINK_THRESHOLD, MatchConfig
@@ -39,22 +38,31 @@ def clean_stream(arriving: DataFrame, rules: Mapping[str, Column], config: Match
     return preprocess(with_errors(arriving, rules), config)
 
 
-def write_distinct(arriving: DataFrame, keys: Sequence[str], out_path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """The first row of each key, however late it comes.
+def distinct_stream(arriving: DataFrame, keys: Sequence[str], event_time: str | None = None, delay: str | None = None) -> DataFrame:
+    """The first row of each key, however late it comes; the keys seen so far are in the state store.
 
-    A micro-batch is reduced to one row per key and compared with the keys that
-    earlier batches wrote, so nothing depends on a watermark.  A batch that is
-    run again replaces its own folder.
+    With ``event_time`` and ``delay`` (such as "2 days") a key is held until the
+    watermark, the latest time seen less ``delay``, has passed the time of its
+    first row by ``delay``: the state stays bounded, repetitions within ``delay``
+    are dropped, a later one counts as new, and a row older than the watermark
+    is late and dropped.  Without them every key is held for ever, which asks for a
+    state store on disk (``spark.sql.streaming.stateStore.providerClass``).
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark, new = batch.sparkSession, batch.dropDuplicates(list(keys))
-        if batch_id:
-            known = spark.read.parquet(out_path)
-            same = [new[k].eqNullSafe(known[k]) for k in keys]
-            new = new.join(known.filter(F.col("batch_id") < batch_id).select(*keys), same, "left_anti")
-        new.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+    if (event_time is None) != (delay is None):
+        raise ValueError("event_time and delay belong together")
+    if event_time is None:
+        return arriving.dropDuplicates(list(keys))
+    return arriving.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
-    writer = arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+def write_distinct(arriving: DataFrame, keys: Sequence[str], out_path: str, checkpoint: str, available_now: bool = False,
+                   event_time: str | None = None, delay: str | None = None) -> StreamingQuery:
+    """:func:`distinct_stream` appended to Parquet.
+
+    No batch reads what earlier ones wrote, and one that runs again after a failure adds nothing twice.
+    """
+    writer = (distinct_stream(arriving, keys, event_time, delay).writeStream.format("parquet").option("path", out_path)
+              .option("checkpointLocation", checkpoint))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
