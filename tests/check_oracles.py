@@ -20,6 +20,8 @@ def connect(sf_dir: str):
     import duckdb
 
     con = duckdb.connect()
+    con.execute(f"SET temp_directory = '/tmp/checkpoints/duckdb-{uuid.uuid4().hex}'")
+    con.execute("SET max_temp_directory_size = '8GB'")
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return con

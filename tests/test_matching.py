@@ -250,6 +250,8 @@ def test_learning_round_trip(spark, tmp_path):
     again, same_rules = learn.load_or_fit(str(tmp_path / "m"), people, labels, fields, candidates)
     assert rules == same_rules and again.bias == model.bias and dict(again.weights) == dict(model.weights)
     assert model.weights["emails"] > 0
+    alone, _ = learn.load_model(spark, str(tmp_path / "m"))
+    assert alone.fields == fields == learn.saved_fields(spark, str(tmp_path / "m"))
     covered = learn.predicate_coverage(people, labels, rules)
     assert covered.filter("size(covers) = 0").isEmpty()
     assert rule(("same_seven_char_start", "birth_family_name")) not in rules
