@@ -36,11 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinfold.llm.bytestext import Chunk, chunks, constants, mix
+from twinfold.llm.bytestext import Chunk, chunks, constants, mix, small_batches
 from twinfold.sources.lineage import stored
 
 MIN_COUNT, MAX_WORDS, TOP = 30, 4, 2_000
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 3_000_000
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[*map(ord, ".,;:!?"), *range(0x0A, 0x0E)]] = True
 _SEPARATORS = _BREAKS.copy()
@@ -89,7 +89,7 @@ def _with_gaps(codes: np.ndarray, chunk: Chunk) -> np.ndarray:
     return out
 
 
-_READ = "block long, codes array<int>, code int, lang string, word string, n long"
+_READ = "block long, codes array<int>, place long, lang string, word string, n long"
 
 
 def _table(rows: int, names: list[str], kinds: list[pa.DataType], given: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -97,9 +97,9 @@ def _table(rows: int, names: list[str], kinds: list[pa.DataType], given: dict[st
 
 
 def word_occurrences(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The relation of length 1: rows ``block, codes`` and, for each word of a block, ``block, code, lang, word, n``."""
-    names = ["block", "codes", "code", "lang", "word", "n"]
-    kinds = [pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.string(), pa.string(), pa.int64()]
+    """The relation of length 1: rows ``block, codes`` and, for each word of a block, ``place, lang, word, n``."""
+    names = ["block", "codes", "place", "lang", "word", "n"]
+    kinds = [pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() * _BLOCKS
@@ -111,7 +111,7 @@ def word_occurrences(docs: DataFrame, text_column: str = "text", lang_column: st
             for at in range(0, len(entries), 1 << 16):
                 some = entries[at: at + (1 << 16)]
                 yield _table(len(some), names, kinds, {
-                    "block": pa.array(np.full(len(some), first + done)), "code": pa.array(np.arange(at + 1, at + 1 + len(some), dtype=np.int32)),
+                    "place": pa.array((first + done) * _CODES + np.arange(at + 1, at + 1 + len(some))),
                     "lang": pa.array([g for g, _ in some], pa.string()), "word": pa.array([w.decode("utf-8", "replace") for _, w in some], pa.string()),
                     "n": pa.array(n[at: at + len(some)])})
 
@@ -145,28 +145,43 @@ def word_occurrences(docs: DataFrame, text_column: str = "text", lang_column: st
 
 
 def frequent(keys: DataFrame, by: list[str], min_count: int) -> DataFrame:
-    """The rows ``block, code, <by>, n`` of the groups of ``min_count`` and more, with ``id`` and count ``a`` of the group.
+    """The rows ``place, <by>, n`` of the groups of ``min_count`` and more, with ``id`` and count ``a`` of the group.
 
-    A group has at most one row a block, so no group is large.  Its id is its smallest (block, code).
+    A place is a block and a number in it.  A group has at most one row a block, so no group is large.  Its id is
+    its smallest place.
     """
     group = Window.partitionBy(*by)
-    place = F.shiftleft("block", 31) + F.col("code")
-    return (keys.withColumn("a", F.sum("n").over(group)).withColumn("id", F.min(place).over(group)).filter(F.col("a") >= min_count)
-            .select("block", "code", *by, "id", "a", (F.col("id") == place).alias("first")))
-
-
-def _next_lengths(codes: list[np.ndarray], key_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """Left and right number and count of each distinct adjacent pair of kept numbers; the pairs by position; their counts."""
-    kept = [np.where(key_of[c] > 0, c, 0) for c in codes]
-    pairs = [np.where((c[:-1] > 0) & (c[1:] > 0), (c[:-1].astype(np.int64) << 32) | c[1:], 0) for c in kept]
-    joined = np.concatenate([p[p > 0] for p in pairs]) if pairs else np.zeros(0, np.int64)
+    return (keys.withColumn("a", F.sum("n").over(group)).withColumn("id", F.min("place").over(group)).filter(F.col("a") >= min_count)
+            .select("place", *by, "id", "a", (F.col("id") == F.col("place")).alias("first")))
+
+
+def _by_block(kept: DataFrame, step: int) -> DataFrame:
+    """``block, step, code, id``: for each block the numbers of its frequent groups and their ids, as arrays."""
+    return (kept.groupBy(F.shiftright("place", 31).alias("block"))
+            .agg(F.collect_list(F.col("place").bitwiseAND(F.lit(_CODES - 1)).cast("int")).alias("code"), F.collect_list("id").alias("id"))
+            .select("block", F.lit(step).alias("step"), "code", "id"))
+
+
+def _next_lengths(codes: list[np.ndarray], key_of: np.ndarray, positions: bool) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Left and right number of each distinct adjacent pair of kept numbers; the pairs by position, if asked for; their counts."""
+    found, places = [], []
+    for c in codes:
+        kept = np.where(key_of[c] > 0, c, 0)
+        place = np.flatnonzero((kept[:-1] > 0) & (kept[1:] > 0))
+        places.append((len(c) - 1, place))
+        found.append((kept[place].astype(np.int64) << 32) | kept[place + 1])
+    sizes = [len(f) for f in found]
+    joined = np.concatenate(found) if found else np.zeros(0, np.int64)
+    del found
+    if not positions:
+        values, n = np.unique(joined, return_counts=True)
+        return values >> 32, values & 0xFFFFFFFF, [], n
     values, number, n = np.unique(joined, return_inverse=True, return_counts=True)
-    out, at = [], 0
-    for p in pairs:
-        row = np.zeros(len(p), np.int32)
-        size = int((p > 0).sum())
-        row[p > 0] = number[at: at + size] + 1
-        at += size
+    del joined
+    out = []
+    for (length, place), part in zip(places, np.split(number, np.cumsum(sizes)[:-1])):
+        row = np.zeros(length, np.int32)
+        row[place] = part + 1
         out.append(row)
     return values >> 32, values & 0xFFFFFFFF, out, n
 
@@ -176,73 +191,60 @@ def _squeezed(codes: np.ndarray) -> np.ndarray:
     return codes[(codes > 0) | np.concatenate(([0], codes[:-1])).astype(bool)]
 
 
-def extended(occurrences: DataFrame, kept: DataFrame, pairs: DataFrame | None, keep_positions: bool) -> DataFrame:
-    """The next length: rows ``block, code, left, right, n`` and, with ``keep_positions``, its relation as rows ``block, codes``.
+def extended(occurrences: DataFrame, steps: list[DataFrame], keep_positions: bool) -> DataFrame:
+    """The next length: rows ``place, left, right, n`` and, with ``keep_positions``, its relation as rows ``block, codes``.
 
-    ``kept`` (``block, code, id``) are the groups of the relation to go on with.  ``pairs`` (``block, left, right, id``),
-    if given, are those of the length after it, which is then only a step on the way.
+    ``steps`` are the frequent groups (``place, id``) of the relation, and of the lengths after it that are only on the way.
     """
-    names = ["block", "codes", "code", "left", "right", "n"]
-    kinds = [pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    none = F.lit(None).cast("bigint")
-    wanted = kept.select("block", "code", none.alias("left"), none.alias("right"), "id")
-    two_steps = pairs is not None
-    if two_steps:
-        wanted = wanted.union(pairs.select("block", F.lit(None).cast("int"), "left", "right", "id"))
+    names = ["block", "codes", "place", "left", "right", "n"]
+    kinds = [pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    wanted = reduce(DataFrame.union, [_by_block(kept, k) for k, kept in enumerate(steps)])
+    n_steps = len(steps)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        codes = [x.values.to_numpy() for x in left.column("codes").combine_chunks()] if left.num_rows else []
-        single = right.filter(right.column("left").is_null())
-        code, ids = single.column("code").to_numpy(), single.column("id").to_numpy()
-        key_of = np.zeros(max([int(c.max(initial=0)) for c in codes] + [int(code.max(initial=0))], default=0) + 1, np.int64)
-        key_of[code] = ids
-        a, b, positions, n = _next_lengths(codes, key_of)
-        if two_steps:
-            both = right.filter(right.column("left").is_valid())
-            order = np.argsort(ids)
-
-            def code_of(column: str) -> np.ndarray:
-                return code[order[np.searchsorted(ids, both.column(column).to_numpy(), sorter=order)]].astype(np.int64)
-
-            known = (code_of("left") << 32) | code_of("right") if both.num_rows else np.zeros(0, np.int64)
-            key_of = np.zeros(len(a) + 1, np.int64)  # the pairs of the block are sorted, and every kept one is among them
-            key_of[np.searchsorted((a << 32) | b, known) + 1] = both.column("id").to_numpy()
-            a, b, positions, n = _next_lengths(positions, key_of)
+        codes = [x.values.to_numpy() for chunk in left.column("codes").chunks for x in chunk]
+        kept = {k: (code.values.to_numpy(), ids.values.to_numpy())
+                for k, code, ids in zip(right.column("step").to_pylist(), *(right.column(c) for c in ("code", "id")))}
         block, out = key[0].as_py(), []
-        for at in range(0, len(n), 1 << 16):
+        for k in range(n_steps if len(kept) == n_steps else 0):
+            code, ids = kept[k]
+            key_of = np.zeros(max([int(c.max(initial=0)) for c in codes] + [int(code.max(initial=0))]) + 1, np.int64)
+            key_of[code] = ids
+            # the distinct pairs of a block are sorted, so they have the same numbers whenever they are made
+            a, b, codes, n = _next_lengths(codes, key_of, keep_positions or k < n_steps - 1)
+        for at in range(0, len(n) if kept.keys() == set(range(n_steps)) else 0, 1 << 16):
             part = slice(at, at + (1 << 16))
             size = len(n[part])
-            out.append(_table(size, names, kinds, {
-                "block": pa.array(np.full(size, block)), "code": pa.array(np.arange(at + 1, at + 1 + size, dtype=np.int32)),
-                "left": pa.array(key_of[a[part]]), "right": pa.array(key_of[b[part]]), "n": pa.array(n[part])}))
-        for row in map(_squeezed, positions if keep_positions else []):
+            out.append(_table(size, names, kinds, {"place": pa.array(block * _CODES + np.arange(at + 1, at + 1 + size)), "left": pa.array(key_of[a[part]]),
+                                                   "right": pa.array(key_of[b[part]]), "n": pa.array(n[part])}))
+        for row in map(_squeezed, codes if keep_positions and out else []):
             if len(row):
                 out.append(_table(1, names, kinds, {"block": pa.array([block]), "codes": pa.ListArray.from_arrays(
                     pa.array([0, len(row)], pa.int32()), pa.array(row))}))
         return pa.Table.from_batches(out, pa.schema(list(zip(names, kinds))))
 
     return (occurrences.groupBy("block").cogroup(wanted.groupBy("block"))
-            .applyInArrow(run, "block long, codes array<int>, code int, left long, right long, n long"))
+            .applyInArrow(run, "block long, codes array<int>, place long, left long, right long, n long"))
 
 
 def frequent_phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, text_column: str = "text", lang_column: str = "lang",
                      block_words: int = BLOCK_WORDS) -> tuple[DataFrame, list[DataFrame]]:
     """``lang, n`` (words), and for each length ``id, left, right, a`` of its frequent phrases (``id, lang, word, a`` of words)."""
+    small_batches(docs.sparkSession)
     texts = stored(word_occurrences(docs, text_column, lang_column, block_words), "word-occurrences")
     positions = texts.filter(F.col("codes").isNotNull()).select("block", "codes")
-    words = texts.filter(F.col("word").isNotNull()).drop("codes")
+    words = texts.filter(F.col("word").isNotNull()).select("place", "lang", "word", "n")
     counts = words.groupBy("lang").agg(F.sum("n").alias("n"))
     kept = stored(frequent(words, ["lang", "word"], min_count), "frequent-1")
-    found, before = [kept.filter("first").select("id", "lang", "word", "a")], None
+    found, steps = [kept.filter("first").select("id", "lang", "word", "a")], [kept]
     for length in range(2, max_words + 1):
         stays = 2 < length < max_words  # of two words the texts' relation is read again: shorter than all pairs
-        keys = extended(positions, (before or kept).select("block", "code", "id"), kept.select("block", "left", "right", "id") if before else None, stays)
+        keys = extended(positions, steps, stays)
         if stays:
             keys = stored(keys, f"occurrences-{length}")
             positions = keys.filter(F.col("codes").isNotNull()).select("block", "codes")
-        keys = keys.filter(F.col("n").isNotNull()).drop("codes")
-        shorter, kept = kept, stored(frequent(keys, ["left", "right"], min_count), f"frequent-{length}")
-        before = shorter if length == 2 else None
+        kept = stored(frequent(keys.filter(F.col("n").isNotNull()).select("place", "left", "right", "n"), ["left", "right"], min_count), f"frequent-{length}")
+        steps = [*steps, kept] if length == 2 else [kept]
         found.append(kept.filter("first").select("id", "left", "right", "a"))
     return counts, found
 
