@@ -58,18 +58,29 @@ def with_rule_columns(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def block_table(df: DataFrame, rules: Sequence[Rule], id_column: str = "record_id",
-                payload: Sequence[str] = ()) -> DataFrame:
+                payload: Sequence[str] = (), tagged: bool = False) -> DataFrame:
     """``(id, rule, key[, payload])``, one row per record and distinct key of any rule.
 
-    Long keys travel as their SHA-256.
+    Long keys travel as their SHA-256.  With ``tagged`` each row also has ``tag``,
+    its rule and key as one text, and ``tags``, the tags of all keys of its record.
     """
+    key = f"if(length(k) <= {_LONG_KEY}, k, sha2(k, 256))"
     per_rule = ", ".join(f"struct({n} as rule, array_distinct({rule_keys(r)}) as keys)" for n, r in enumerate(rules))
     carried = ["payload"] if payload else []
-    one_row_per_rule = with_rule_columns(df, rules).select(
+    tags = ("array_distinct(flatten(transform(blocks, b -> transform(filter(b.keys, k -> k is not null), "
+            f"k -> concat(cast(b.rule as string), ':', {key}))))) as tags")
+    one_row = with_rule_columns(df, rules).select(
         F.col(id_column).alias("id"), *([F.struct(*payload).alias("payload")] if payload else []),
-        F.expr(f"explode(array({per_rule}))").alias("block"))
-    return (one_row_per_rule.selectExpr("id", *carried, "block.rule as rule", "explode(block.keys) as k")
-            .selectExpr("id", *carried, "rule", f"if(length(k) <= {_LONG_KEY}, k, sha2(k, 256)) as key"))
+        F.expr(f"array({per_rule})").alias("blocks"))
+    if tagged:
+        one_row = one_row.selectExpr("*", tags)
+    marks = ["tags"] if tagged else []
+    rows = (one_row.selectExpr("id", *carried, *marks, "explode(blocks) as block")
+            .selectExpr("id", *carried, *marks, "block.rule as rule", "explode(block.keys) as k")
+            .selectExpr("id", *carried, *marks, "rule", f"{key} as key"))
+    if not tagged:
+        return rows
+    return rows.filter("key is not null").selectExpr("*", "concat(cast(rule as string), ':', key) as tag")
 
 
 def block_sizes(blocks: DataFrame) -> DataFrame:
@@ -103,21 +114,23 @@ def candidate_pairs(df: DataFrame, rules: Sequence[Rule], id_column: str = "reco
     meets piece j in cell (i, j), so all its pairs are still found while no
     task compares more than two pieces.  Both join sides are the same exchange.
 
-    With ``payload`` the compared fields ride along as structs ``l`` and ``r``
-    and a pair appears once per shared key; score, filter, then deduplicate.
+    With ``payload`` the compared fields ride along as structs ``l`` and ``r``.
+    A pair meets at every key its records share and is kept at the smallest
+    of them only, so it is scored once.
     """
     hot = hot_keys(block_table(df, rules, id_column), max_block)
-    placed = _with_parts(block_table(df, rules, id_column, payload), hot)
+    placed = _with_parts(block_table(df, rules, id_column, payload, tagged=True), hot)
     carried = ["payload"] if payload else []
     # cell of each piece with every other: (smaller, larger)
     cells = ("explode(transform(sequence(0, coalesce(parts, 1) - 1), "
              "j -> struct(least(part, j) as row, greatest(part, j) as column))) as cell")
-    placed = (placed.selectExpr("id", *carried, "rule", "key", "part", cells)
-              .selectExpr("id", *carried, "rule", "key", "part", "cell.row as row", "cell.column as column"))
+    placed = (placed.selectExpr("id", *carried, "rule", "key", "tag", "tags", "part", cells)
+              .selectExpr("id", *carried, "rule", "key", "tag", "tags", "part", "cell.row as row", "cell.column as column"))
     # Inside a diagonal cell ids decide the side, elsewhere the piece does.  The two tests of the
     # piece are one expression over both sides: pushed down singly they would make the sides differ.
     on = [f"a.{c} = b.{c}" for c in _JOIN] + [
-        "abs(a.part - a.row) + abs(b.part - b.column) = 0", "(a.row < a.column or a.id < b.id)"]
+        "abs(a.part - a.row) + abs(b.part - b.column) = 0", "(a.row < a.column or a.id < b.id)",
+        "not arrays_overlap(filter(a.tags, t -> t < a.tag), b.tags)"]
     joined = placed.alias("a").join(placed.alias("b"), F.expr(" and ".join(on)))
     ids = ("least(a.id, b.id) as left_id", "greatest(a.id, b.id) as right_id")
     if not payload:
