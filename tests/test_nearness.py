@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from twinfold.config import FieldSpec
 from twinfold.functions import similarity as sim
-from twinfold.operators import blocking, link, scoring
+from twinfold.operators import blocking, link, nearness, scoring
 from twinfold.operators.blocking import rule
 from twinfold.operators.nearness import Nearness, near_pairs
 from twinfold.plans import dedupe
@@ -47,6 +47,21 @@ def test_near_pairs_equal_all_comparisons(spark, seed, cutoff):
     assert want or cutoff == 0.5
 
 
+def test_items_with_parts_in_common_need_few_comparisons(spark, monkeypatch):
+    rng = random.Random(3)
+    values = sorted({f"{rng.choice(['cold', 'hot', 'large'])}.{rng.choice(['bolt', 'ring', 'gear'])}{''.join(rng.choices('aeioulnrst', k=5))}{end}"
+                     for end in ("@example.com", "") for _ in range(150)})
+    every = [(x, y) for i, x in enumerate(values) for y in values[i + 1:]]
+    want = {p for p, v in zip(every, sim._blocked(every, sim._ratio_block)) if v > sim.LIST_SIMILARITY_THRESHOLD}
+    asked, confirmed = [], Nearness.confirmed
+    monkeypatch.setattr(Nearness, "confirmed", lambda self, pairs: asked.append(pairs.count()) or confirmed(self, pairs))
+    monkeypatch.setattr(nearness, "PIECE", 40, raising=False)  # several pieces of one length
+    got = [(r.a, r.b) for r in near_pairs(spark.createDataFrame([(v,) for v in values], "value string"), Nearness()).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+    # the letter pairs of the common parts made nearly every pair of long items a candidate
+    assert sum(asked) < len(every) / 10
+
+
 def test_left_out_letters_equal_the_best_alignments():
     rng = np.random.default_rng(1)
     for cutoff in (None, 1.2, 2.0):

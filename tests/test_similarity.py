@@ -62,6 +62,21 @@ def test_long_texts_are_compared_whole():
     assert np.isclose(sim._affine_gap_block([a], [b], (1.0, 11.0, 10.0, 7.0))[0], (6000 + 11) / 12002)
 
 
+@pytest.mark.parametrize("letters, longest", [("ab", 7), ("abc", 30), ("abcdé\0日😀", 90)])
+def test_close_items_agree_with_all_pairs(letters, longest):
+    rng = random.Random(longest)
+    left = ["".join(rng.choice(letters) for _ in range(rng.randint(1, longest))) for _ in range(60)]
+    right = [x[:k] + rng.choice(letters) * rng.randrange(2) + x[k + rng.randrange(2):] for x in left for k in (0, rng.randrange(len(x)))]
+    near = lambda x, y: 200 * plain_lcs(x, y) > 85 * (len(x) + len(y))
+    found = [(i, j) for a, b in sim.close_items(left, right, False, 5) for i, j in zip(a, b)]
+    want = {(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if max(len(x), len(y)) > 5 and near(x, y)}
+    assert len(found) == len(set(found)) and set(found) == want and want
+    found = [tuple(sorted(p)) for a, b in sim.close_items(right, right, True) for p in zip(a, b)]
+    want = {(i, j) for j, y in enumerate(right) for i, x in enumerate(right[:j]) if near(x, y)}
+    assert len(found) == len(set(found)) and set(found) == want
+    assert not list(sim.close_items(left, [], False))
+
+
 def test_lists_similar_agrees_with_all_pairs(spark):
     rng = random.Random(3)
     base = ["marie.dupont@mail.org", "jean.martin@mail.org", "0612345678", "x"]
