@@ -110,6 +110,33 @@ def test_near_rules_find_every_match_from_fewer_pairs(spark, seed):
     assert {(a, b) for a, b in got if a != b} == {p for x, y in want for p in ((x, y), (y, x)) if p[0] < 40}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_pairs_out_of_reach_are_not_compared(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    word = lambda n: "".join(rng.choice("aeinorst") for _ in range(n))
+    names, mails = [word(rng.randint(3, 9)) for _ in range(20)], [word(12) for _ in range(20)]
+    rows = [(i, "m", rng.choice([*names, "", None]), [m[:k] + m[k + rng.randrange(2):] for m in rng.sample(mails, rng.randrange(3)) for k in [rng.randrange(12)]],
+             rng.choice(["1990-01-01", "1990-01-05", "1931-03-02", "no date", ""])) for i in range(120)]
+    df = spark.createDataFrame(rows, "record_id long, sex string, name string, mails array<string>, born string")
+    fields = (FieldSpec("sex", "Exact", False), FieldSpec("name", "String"), FieldSpec("mails", "Custom"), FieldSpec("born", "DateTime"),
+              FieldSpec("name", "Custom", False, name="initial", comparator=lambda a, b: (F.left(a, F.lit(1)) == F.left(b, F.lit(1))).cast("double"), bounds=(0.0, 1.0)),
+              FieldSpec("both", "Interaction", parts=("name", "mails")))
+    # a missing date and name count in favour, so no near agreement is needed
+    weights = {"sex": 0.5, "name": -1.5, "name__missing": -1.0, "mails": 2.0, "mails__missing": 0.3, "born": -0.03, "born__missing": 1.2, "initial": 0.4,
+               "both": (-0.3, 0.2)[seed]}
+    model = scoring.MatchModel(fields, weights, 1.0)
+    rules = [rule(("whole_field", "sex"))]
+    assert scoring.tightened(rules, model, 0.5, df)[0] == rules
+    every = blocking.candidate_pairs(df, rules)
+    scored = scoring.keep_matches(scoring.score_pairs(blocking.hydrate(every, df, model.columns), model), 0.5)
+    want = {(r.left_id, r.right_id): r.score for r in scored.collect()}
+    asked, score_pairs = [], scoring.score_pairs
+    monkeypatch.setattr(scoring, "score_pairs", lambda pairs, m: asked.append(pairs.count()) or score_pairs(pairs, m))
+    got = {(r.left_id, r.right_id): r.score for r in scoring.matching_pairs(df, rules, model, 0.5).collect()}
+    assert got == pytest.approx(want) and len(want) > 100
+    assert sum(asked) < every.count() * 0.7
+
+
 def test_labels_lead_to_clusters_and_links(spark, tmp_path):
     people = persons(spark, SF_DIR)
     prepared = dedupe.prepare(people, LEARNED)

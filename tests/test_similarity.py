@@ -50,6 +50,13 @@ def test_affine_gap(spark):
     assert sim._affine_gap_block(["same"], ["same"], (1.0, 11.0, 10.0, 7.0))[0] == 0.5
 
 
+def test_least_affine_gap_is_no_more_than_the_distance(spark):
+    pairs = word_pairs(300)
+    rows = spark.createDataFrame([*pairs, *((a, a[1:] + "b") for a, _ in pairs)], "a string, b string").selectExpr("a", "b", f"{sim.least_affine_gap('a', 'b')} as d").collect()
+    assert all(r.d <= plain_gap(r.a, r.b) + 1e-9 for r in rows if r.a or r.b)
+    assert sum(r.d > plain_gap(r.a, r.b) - 1e-9 for r in rows) > 100
+
+
 def test_ratio(spark):
     for r in spark.createDataFrame(word_pairs(), "a string, b string").select("a", "b", sim.ratio("a", "b").alias("v")).collect():
         total = len(r.a) + len(r.b)
